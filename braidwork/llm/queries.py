@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import facts, split
+from braidwork.llm import canon, facts, split
 from braidwork.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,16 @@ def p6_found(spark, d):
 @query("p6_facts", _FACTS + "SELECT keep_id, head, rel, tail, count(*) AS copies FROM kept GROUP BY ALL")
 def p6_facts(spark, d):
     return facts.facts(_records(spark, d))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return canon.canonical(table(spark, d, "esl_predictions"), table(spark, d, "canon_entries"))
+
+
+@query("p4_unmatched")
+def p4_unmatched(spark, d):
+    """The report of unmatched values: how often each was typed, by kind."""
+    rows = canon.prediction_values(table(spark, d, "esl_predictions"))
+    count = rows.groupBy("kind", "value").agg(F.count("*").alias("times"))
+    return canon.map_values(count, table(spark, d, "canon_entries")).where("entry_id = -1").join(count, ["kind", "value"]).select("kind", "value", "times")
