@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canon, facts, split
+from braidwork.llm import canon, crosssplit, facts, nearsame, split
 from braidwork.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,24 @@ def p4_unmatched(spark, d):
     rows = canon.prediction_values(table(spark, d, "esl_predictions"))
     count = rows.groupBy("kind", "value").agg(F.count("*").alias("times"))
     return canon.map_values(count, table(spark, d, "canon_entries")).where("entry_id = -1").join(count, ["kind", "value"]).select("kind", "value", "times")
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return crosssplit.overlaps(table(spark, d, "documents"))
+
+
+@query("p3_report")
+def p3_report(spark, d):
+    docs = table(spark, d, "documents")
+    return crosssplit.report(docs, crosssplit.overlaps(docs))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return nearsame.near_pairs(table(spark, d, "re_documents"))
+
+
+@query("p5_groups")
+def p5_groups(spark, d):
+    return nearsame.near_groups(table(spark, d, "re_documents"))
