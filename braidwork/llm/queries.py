@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canon, crosssplit, facts, nearsame, split
+from braidwork.llm import canon, crosssplit, facts, leak, nearsame, split
 from braidwork.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,19 @@ def p5_found(spark, d):
 @query("p5_groups")
 def p5_groups(spark, d):
     return nearsame.near_groups(table(spark, d, "re_documents"))
+
+
+def _leaks(spark, d):
+    return leak.leaks(table(spark, d, "documents").where("split = 'train'"), table(spark, d, "eval_passages"))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+@query("p7_items")
+def p7_items(spark, d):
+    """Which items leaked: the number of training documents that hold each, and the largest share of it that one holds."""
+    found = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("largest_share"))
+    return found.join(table(spark, d, "eval_passages").select("item_id", "benchmark"), "item_id")
