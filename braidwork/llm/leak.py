@@ -3,7 +3,7 @@
 Item and document passages are short windows of words.  A randomised SVD of the TF-IDF matrix of passages (word buckets of fixed number, idf
 over all documents) gives a latent space; its range finder runs as Spark jobs over a bounded sample of passages (SAMPLE, by hash, with
 the windows of the items), and every window of every document is projected and compared with all item windows.  As word vectors add up,
-a document's windows are differences of one running sum.  A document and an item of which two windows reach the cosine threshold are a
+a document's windows are sums of sums of its steps.  A document and an item of which two windows reach the cosine threshold are a
 candidate; then the longest common subsequence of their words, taken where shared shingles lie along one diagonal, must hold a run with
 the asked share of the item and few alterations.  An answer, number or name that was changed counts as an alteration like any word.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import sketch
-from braidwork.llm.words import hashes, mix, shingles, words
+from braidwork.llm.words import hashes, many, mix, shingles, words
 from braidwork.session import stage
 
 #: Word buckets, latent dimensions (and spare ones of the range finder), passages that fit the basis, items of one pass.
@@ -35,7 +35,7 @@ def scales(n: int, share: float = 0.55) -> tuple[int, int]:
     """Words of a window and step between windows of a document for items of n words, so that a run of the asked share of the item
     always holds a whole window."""
     run = int(share * n)
-    return (16, 9) if run >= 24 else (10, 6) if run >= 15 else (max(3, run // 2), max(1, run - run // 2))
+    return (16, 8) if run >= 24 else (10, 5) if run >= 15 else (max(3, run // 2), max(1, run // 2))
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
@@ -49,13 +49,20 @@ class Basis:
     vectors: np.ndarray
 
     def windows(self, b: np.ndarray, width: int, step: int) -> np.ndarray:
-        """Unit vectors of the windows of a text, from one running sum; the last window ends with the text."""
-        run = np.zeros((len(b) + 1, DIMS), np.float32)
-        np.cumsum(self.vectors[b], 0, out=run[1:])
-        start = np.arange(0, max(1, len(b) - width + 1), step)
-        if start[-1] + width < len(b):
-            start = np.append(start, len(b) - width)
-        x = run[np.minimum(start + width, len(b))] - run[start]
+        """Unit vectors of the windows of a text, begun every `step` words, from sums of steps; the last window ends with the text."""
+        n = len(b)
+        if n <= width:
+            x = self.vectors[b].sum(0, keepdims=True)
+        else:
+            each = max(k for k in (width, step) if not (width % k or step % k)) if not (width % step and step % width) else 1
+            sums = np.add.reduceat(self.vectors[b], np.arange(0, n, each), axis=0)
+            whole = n // each
+            start = np.arange(0, whole - width // each + 1, step // each)
+            x = sums[start]
+            for k in range(1, width // each):
+                x = x + sums[start + k]
+            if start[-1] * each + width < n:
+                x = np.concatenate([x, self.vectors[b[n - width :]].sum(0, keepdims=True)])
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6)
 
 
@@ -64,14 +71,17 @@ def _measure(rate: float):
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for whole in batches:
             picked = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = buckets(hashes(words(text)))
-                count[np.unique(w)] += 1
-                for k in range(0, len(w) - 15, 16):
-                    if (rank := int(mix(np.array([i * 1000003 + k], np.int64).view(np.uint64))[0] >> np.uint64(1))) < cut:
-                        picked.append((rank, w[k : k + 16].tolist()))
+            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                h, size = many([words(t) for t in b.column("text").to_pylist()])
+                w, text = buckets(h), np.repeat(np.arange(len(size)), size)
+                count += np.bincount(np.unique((text << 16) | w) & 0xFFFF, minlength=BUCKETS)
+                begin = np.cumsum(size) - size
+                place = np.arange(len(w)) - begin[text]
+                start = np.flatnonzero((place % 16 == 0) & (place + 16 <= size[text]))
+                rank = (mix(mix((b.column("id").to_numpy()[text[start]] * 1000003 + place[start]).view(np.uint64))) >> np.uint64(1)).astype(np.int64)
+                picked += [(int(r), w[k : k + 16].tolist()) for r, k in zip(rank[rank < cut], start[rank < cut], strict=True)]
             if picked:
                 m = len(picked)
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([p[0] for p in picked], pa.int64()), pa.array([p[1] for p in picked], pa.list_(pa.int32()))], names=["block", "salt", "counts", "rank", "words"])

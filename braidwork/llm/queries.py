@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import canon, crosssplit, facts, leak, nearsame, split
+from braidwork.llm import canon, crosssplit, facts, leak, level, mix, nearsame, split
 from braidwork.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,25 @@ def p7_items(spark, d):
     """Which items leaked: the number of training documents that hold each, and the largest share of it that one holds."""
     found = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("share").alias("largest_share"))
     return found.join(table(spark, d, "eval_passages").select("item_id", "benchmark"), "item_id")
+
+
+@query("p8_mixture")
+def p8_mixture(spark, d):
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return level.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "level")
+
+
+@query("p9_profile")
+def p9_profile(spark, d):
+    """Documents by source and level."""
+    found = level.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+    return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -51,12 +52,18 @@ def shingles(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def spread(a: list[str], b: list[str]) -> int:
-    """The least number of words that must be inserted, deleted or replaced to make the bags of words equal."""
-    count: dict[str, int] = {}
-    for w in a:
-        count[w] = count.get(w, 0) + 1
-    for w in b:
-        count[w] = count.get(w, 0) - 1
-    more = sum(v for v in count.values() if v > 0)
-    return max(more, more - len(a) + len(b))
+def many(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts in one array, and the number of words of each."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(map(_codes.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, int(size.sum())), size
+
+
+def many_shingles(h: np.ndarray, size: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of q words within the texts of many(), and the text of each."""
+    n = max(len(h) - q + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(q):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    text = np.repeat(np.arange(len(size)), size)
+    inside = text[:n] == text[len(h) - n :]
+    return mix(mix(out[inside])), text[:n][inside]
