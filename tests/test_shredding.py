@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from braidwork.operators.shredding import child_tables, found_children, rebuild, shred_batch
-from braidwork.plans.catalogue import p1_found
+from braidwork.plans.shredded import p1_found
 
 inner = st.one_of(st.none(), st.lists(st.one_of(st.none(), st.integers(0, 9)), max_size=3))
 
