@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ class Hasher:
 
 def embed(df: DataFrame, text: str, out: str = "vector", dim: int = 256) -> DataFrame:
     """A column with each text's vector, by Arrow batches; any embedder of the shape texts -> matrix can stand in for Hasher."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher(dim)

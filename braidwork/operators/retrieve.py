@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,10 +142,6 @@ def soft_match(spans: DataFrame, events: DataFrame, least: float | None = None)
     """RET22: for each span (doc_id, span_id, span_text[, neighbour_pos]) the best event (doc_id, event_id, event_text, event_tag,
     text) of its document: .45 word Jaccard + .45 sequence ratio + .10 containment, + .03 for ACTION_ tags, - .02 log1p of the
     distance to neighbour_pos; ties to the larger event_id."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
