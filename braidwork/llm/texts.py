@@ -52,7 +52,13 @@ def verified(pairs: DataFrame, texts: DataFrame, one_in: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = [same(words(s), words(t), one_in) for s, t in zip(x.column("ta").to_pylist(), x.column("tb").to_pylist(), strict=True)]
+            ids = [x.column(c).to_pylist() for c in ("a", "b")]
+            known: dict[int, list[str]] = {}
+            for own, text in zip(ids, ("ta", "tb"), strict=True):
+                for k, t in zip(own, x.column(text).to_pylist(), strict=True):
+                    if k not in known:
+                        known[k] = words(t)
+            ok = [same(known[s], known[t], one_in) for s, t in zip(*ids, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
