@@ -183,3 +183,14 @@ def strategy_kg_context(spark, d):
     docs = documents(spark, d)
     near = graph.neighbourhood(docs, graph.gold_edges(docs))
     return near.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", F.lit("-"), "head", "rel", "tail").alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+
+
+@query("pipeline_answers", "SELECT item_id AS task_id, 'claim_verification' AS task_type, 5::BIGINT AS n_evidence, '{\"label\":\"REFUTES\",\"rationale\":\"it says so\"}' AS output FROM eval_passages")
+def pipeline_answers(spark, d):
+    """Evaluation passages as claims against the primers, answered by a stand-in that always refutes."""
+    from braidwork.plans.pipeline import Pipeline, dense
+
+    docs = table(spark, d, "documents").where("source = 'primer'").selectExpr("doc_id AS id", "text")
+    tasks = table(spark, d, "eval_passages").select(F.col("item_id").alias("task_id"), F.lit("claim_verification").alias("task_type"), F.col("text").alias("query"))
+    run = Pipeline(strategies.fixed("It REFUTES this.\nRATIONALE: it says so"), dense(docs)).run(tasks)
+    return run.select("task_id", "task_type", "n_evidence", "output")
