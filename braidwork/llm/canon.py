@@ -149,7 +149,9 @@ def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin
     index = post.groupBy("kind", "gram").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("entry_id", "name", (F.col("idf") / F.col("length")).alias("w"))).alias("posts"))
 
     distinct = values.select("kind", "value").where(F.col("value").rlike(r"(?U)\S")).distinct().mapInArrow(_normaliser, "kind string, value string, norm string")
-    forms = distinct.select("kind", "norm").distinct().mapInArrow(_grammer, "kind string, norm string, grams array<string>")
+    # partitioned once by form: scoring, ranking and choice below need no further exchange, and few bytes of forms still spread over all tasks
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    forms = distinct.select("kind", "norm").distinct().mapInArrow(_grammer, "kind string, norm string, grams array<string>").repartition(n, "kind", "norm")
     if post.count() <= small:
         index = F.broadcast(index)
     # entry null marks the value's own length
