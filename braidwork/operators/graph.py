@@ -184,7 +184,7 @@ def sentence_communities(edges: DataFrame, label: DataFrame) -> DataFrame:
 def two_stage(queries: DataFrame, sentences: DataFrame, vectors: DataFrame, top_communities: int = 3, top_sentences: int = 10, delta_percent: float | None = None, lambda_percent: float | None = None, most: int = 5000) -> DataFrame:
     """RET20, WIN7: for each query (query_id, vector) the best sentences of its best communities: (query_id, sentence_id, community,
     score, rank).  sentences is (community, sentence_id, pos), vectors (sentence_id, vector); communities are compared by the mean of
-    their sentences' vectors; delta_percent and lambda_percent are shares of the communities and of the scored candidates kept.
+    their sentences' vectors, those that share no dimension with a query being left out; delta_percent and lambda_percent are shares of the communities and of the scored candidates kept.
 
     Queries are few and held by the tasks through a broadcast join of their vectors' non-zero dimensions."""
     entries = vectors.select("sentence_id", F.posexplode("vector").alias("dim", "x")).where("x <> 0")
