@@ -88,9 +88,9 @@ def docred(raw: DataFrame, rel_info: DataFrame, keep_empty: bool = True) -> Data
     form `P17 : name`, or the bare code where it has no name; labels that point nowhere go.  rel_info is small and joined once."""
     sentences = F.transform(F.coalesce("sents", F.array().cast("array<array<string>>")), lambda s: F.array_join(s, " "))
     df = raw.withColumn("sentences", sentences).withColumn("text", F.array_join("sentences", " ")).withColumn("document_id", document_id("DocRED", "text"))
-    surface = lambda m: F.array_join(F.slice(F.get(F.col("sents"), m["sent_id"]), m["pos"][0] + 1, m["pos"][1] - m["pos"][0]), " ")
+    surface = lambda m: F.array_join(F.slice(F.get(F.col("sents"), m["sent_id"]), F.get(m["pos"], F.lit(0)) + 1, F.get(m["pos"], F.lit(1)) - F.get(m["pos"], F.lit(0))), " ")
     mention = lambda i: lambda m, k: _mention(id=F.concat(i.cast("string"), F.lit("_m"), k.cast("string")), trigger_word=surface(m), sent_id=m["sent_id"], offset=m["pos"])
-    cluster = lambda c, i: F.struct(F.when(F.size(c) > 0, event_id(F.col("document_id"), F.col("split"), i, surface(c[0]))).alias("id"), _entity(F.coalesce(c[0]["type"], F.lit("UNK")), F.transform(c, mention(i))).alias("e"))
+    cluster = lambda c, i: F.struct(F.when(F.size(c) > 0, event_id(F.col("document_id"), F.col("split"), i, surface(F.get(c, F.lit(0))))).alias("id"), _entity(F.coalesce(F.get(c, F.lit(0))["type"], F.lit("UNK")), F.transform(c, mention(i))).alias("e"))
     df = df.withColumn("clusters", F.transform(F.coalesce("vertexSet", F.array().cast("array<array<struct<name:string,pos:array<int>,sent_id:int,type:string>>>")), cluster))
     df = df.withColumn("entities", F.map_from_entries(F.transform(F.filter("clusters", lambda c: c["id"].isNotNull()), lambda c: F.struct(c["id"], c["e"]))))
     labels = df.select("document_id", "split", "clusters", F.posexplode("labels").alias("pos", "l")).join(rel_info.toDF("r", "name"), F.col("l.r") == F.col("r"), "left")

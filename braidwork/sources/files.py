@@ -90,10 +90,10 @@ def graph_edges(texts: DataFrame, value: str = "value") -> DataFrame:
 
 
 def graph_file(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5-7: edges of a JSON file, or of JSON lines if the file is not one JSON value (B4)."""
-    whole = spark.read.text(path, wholetext=True)
-    one = whole.where(F.try_parse_json("value").isNotNull())
-    return graph_edges(one) if not one.isEmpty() else graph_edges(spark.read.text(path))
+    """SRC5-7: edges of JSON lines if the first line that isn't blank is a JSON value, else of files that are one JSON value (B4)."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    by_line = lines.limit(1).where(F.try_parse_json("value").isNotNull())
+    return graph_edges(lines if not by_line.isEmpty() else spark.read.text(path, wholetext=True))
 
 
 def unknown_documents(edges: DataFrame) -> DataFrame:
