@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 # Words that never decide what a value names.
 SMALL = frozenset("a an the this that these those another some any its their our his her it of in on at by to as is was be been being there here today now yesterday then just also very please reported report alleged so called and or for with from".split())
-_LEAD = re.compile(r"\b(?:\w+:\s+|(?:relation|event|type|label|answer|span|source|target):)(?=\W*\w)")
+_LEAD = re.compile(r"\b(\w+):(?=\W*\w)")
+LEADS = ("relation", "event", "type", "label", "answer", "span", "source", "target", "output")
+#: Words that turn a name into another one; they are never small.
+NEGATIONS = frozenset("no not non none never without".split())
 _GENITIVE = re.compile(r"(?<=\w)['’`´]s\b")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -27,21 +30,21 @@ def normalise(value: str) -> list[str]:
     """The words of a value in one character form: compatibility forms, case, accents, punctuation, genitive s and a lead-in gone."""
     text = "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", value).casefold()) if not unicodedata.combining(c))
     text = _GENITIVE.sub("", text)
-    return _WORD.findall(_LEAD.sub("", text))
+    return _WORD.findall(_LEAD.sub(lambda m: "" if m[1] in LEADS or any(len(x) > 4 and slips(m[1], x, 2) <= 2 for x in LEADS) else m[0], text))
 
 
 def stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word[-1] == "s" and word[-2] != "s" else word
 
 
-def core(ws: list[str]) -> list[str]:
-    """Words without the small ones and the plural s; all of them if nothing else is left."""
-    return [stem(w) for w in ws if w not in SMALL] or [stem(w) for w in ws]
+def core(ws: list[str], strict: bool = False) -> list[str]:
+    """Words without the small ones and the plural s; all of them if nothing else is left.  strict: small words with a slip go too."""
+    return [stem(w) for w in ws if not (_filler(w) if strict else w in SMALL)] or [stem(w) for w in ws]
 
 
 def grams(ws: list[str]) -> list[str]:
-    """Distinct character 2- and 3-grams of the core words, with marks at word borders."""
-    out = set()
+    """Distinct character 2- and 3-grams of the core words, with marks at word borders, and the words themselves."""
+    out = {f"={w}" for w in core(ws)}  # whole words too
     for w in core(ws):
         w = f"^{w}$"
         out.update(w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1))
@@ -67,12 +70,12 @@ def slips(a: str, b: str, most: int) -> int:
 
 def allowed(name: str) -> int:
     """Slips that a name of this length may suffer."""
-    return max(1, min(3, round(len(name) * 0.34)))
+    return max(1, min(5, round(len(name) * 0.3)))
 
 
 def _filler(word: str) -> bool:
     """A small word, or one with a slip in it."""
-    return word in SMALL or len(word) > 3 and any(len(s) > 2 and slips(word, s, 1) < 2 for s in SMALL)
+    return word in SMALL or word not in NEGATIONS and any(slips(word, s, 1) < 2 for s in SMALL if len(s) > 1)
 
 
 def _run_together(text: str, name: list[str]) -> set[tuple[str, str]]:
@@ -85,8 +88,8 @@ def _run_together(text: str, name: list[str]) -> set[tuple[str, str]]:
 def apart(value: list[str], name: list[str]) -> int | None:
     """Slips between a value and a name, over turns of the word order and with or without small words; None: not the same."""
     v, n = core(value), core(name)
-    if len(v) > len(n) and (rest := [w for w in v if not _filler(w)]):
-        v = rest
+    if len(v) > len(n):
+        v = core(value, strict=True)
     forms = [({("".join(v[k:] + v[:k]), "".join(n)) for k in range(len(v))}, len(v) <= len(n)), ({("".join(value), "".join(name))}, len(value) <= len(name))]
     if len(value) == 1 < len(n):
         forms.append((_run_together(value[0], n) | _run_together(value[0], name), True))
@@ -102,12 +105,31 @@ def apart(value: list[str], name: list[str]) -> int | None:
     return best
 
 
-def decide(value: list[str], candidates: list[tuple[int, list[str], float]], margin: float) -> int | None:
-    """The entry that candidates (entry, name, cosine) give for a value."""
+def _other_word(value: list[str], name: list[str], rest: set[str]) -> bool:
+    """Whether a word of the value stands closer to a word of other names than to any of this one."""
+    v, n = core(value), core(name)
+    if len(v) > len(n):
+        v = core(value, strict=True)
+    if len(v) < len(n):
+        return False  # words run together have no borders
+    for w in v:
+        own = min(slips(w, x, len(w)) for x in n)
+        if own and any(slips(w, x, own - 1) < own for x in rest - set(n)):
+            return True
+    return False
+
+
+def decide(value: list[str], candidates: list[tuple[int, list[str], float]], margin: float, known: frozenset[str] = frozenset()) -> int | None:
+    """The entry that candidates (entry, name, cosine) give for a value; known: words of the value that the reference list has, which
+    are no slips."""
     near: dict[int, tuple[int, float]] = {}
+    own: dict[int, set[str]] = {}
+    for entry, name, _ in candidates:
+        own.setdefault(entry, set()).update(core(name))
+    rest = set().union(*own.values()) | known
     for entry, name, cosine in candidates:
         d = apart(value, name)
-        if d is not None:
+        if d is not None and not (d and _other_word(value, name, rest - own[entry])):
             near[entry] = min(near.get(entry, (99, 0.0)), (d, -cosine))
     if not near:
         return None
@@ -127,7 +149,7 @@ def _grammer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([grams(n.split()) for n in b.column("norm").to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "grams"])
 
 
-def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin: float = 0.02, keep: int = 8, unknown: float = 2.0, small: int = 200_000) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin: float = 0.02, keep: int = 12, unknown: float = 2.0, small: int = 200_000) -> DataFrame:
     """(kind, value, entry_id, cosine) for each distinct non-blank value of values (kind, value); entry_id -1: it names no entry.
 
     entries is (entry_id, kind, label, aliases).  least: cosine from which a name is a candidate; margin: by how much the cosine
@@ -167,11 +189,15 @@ def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin
     ranked = scored.where(F.col("entry_id").isNull() | (F.col("cosine") >= least)).withColumn("rank", F.row_number().over(mine.orderBy(F.col("entry_id").isNotNull(), F.desc("cosine"), "entry_id", "name")))
     best = ranked.where(F.col("rank") <= keep + 1).groupBy("kind", "norm").agg(F.collect_list(F.when(F.col("entry_id").isNotNull(), F.struct("entry_id", "name", "cosine"))).alias("best"))
 
+    # words that the reference list has, joined in the same partitions
+    words = found.where(F.col("gram").startswith("=") & F.col("idf").isNotNull()).groupBy("kind", "norm").agg(F.collect_set(F.substring("gram", 2, 1_000_000)).alias("known"))
+    best = best.join(words, ["kind", "norm"], "left").select("kind", "norm", "best", "known")
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
-            for norm, best in zip(b.column("norm").to_pylist(), b.column("best").to_pylist(), strict=True):
-                entry = decide(norm.split(), [(c["entry_id"], c["name"].split(), c["cosine"]) for c in best], margin) if norm else None
+            for norm, best, known in zip(*(b.column(c).to_pylist() for c in ("norm", "best", "known")), strict=True):
+                entry = decide(norm.split(), [(c["entry_id"], c["name"].split(), c["cosine"]) for c in best], margin, frozenset(known or ())) if norm else None
                 got.append((-1 if entry is None else entry, max((c["cosine"] for c in best), default=0.0)))
             yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("norm"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["kind", "norm", "entry_id", "cosine"])
 

@@ -36,3 +36,12 @@ def test_index_loses_nothing(spark):
 
 def test_slips():
     assert [slips("reuslt", "result", 3), slips("abc", "abc", 0), slips("abcd", "xyzw", 2), slips("", "ab", 3)] == [1, 0, 3, 2]
+
+
+def test_known_words_are_no_slips():
+    names = [(1, ["retail", "chain", "strike"], 0.9), (1, ["retail", "chain", "walkout"], 0.9), (2, ["power", "grid", "blackout"], 0.5)]
+    assert decide(["retail", "chain", "blackout"], names, 0.02) is None
+    assert decide(["retail", "chain", "blakcout"], names, 0.02) is None
+    assert decide(["retail", "chain", "walkotu"], names, 0.02) == 1
+    assert decide(["retail", "chain", "recall"], names[:2], 0.02, frozenset(["recall"])) is None
+    assert normalise("evnet: “Relation: x:y” (a)") == ["x", "y", "a"] and normalise("blackout: of gate") == ["blackout", "of", "gate"]
