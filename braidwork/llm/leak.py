@@ -205,17 +205,20 @@ def leaked(item: Item, ws: list[str], grams: list[int], own: set[int], share: fl
         return 0.0
     slack = int(n / one_in) + 2
     diagonals = sorted(p - j for p, g in enumerate(grams) if g in common for j in item.places[g])
-    lo, best, span = 0, 0, (0, 0)
+    lo, best = 0, 0
+    span: tuple[int, int] | None = None
     for hi, d in enumerate(diagonals):
         while d - diagonals[lo] > slack:
             lo += 1
-        if hi - lo + 1 >= least * 0.95:
-            if span == (0, 0) or diagonals[lo] > span[1]:
-                best = max(best, _aligned(item, ws, span, slack, one_in)) if span != (0, 0) else best
-                span = (diagonals[lo], d)
-            else:
-                span = (span[0], d)
-    if span != (0, 0):
+        if hi - lo + 1 < least * 0.95:
+            continue
+        if span is not None and diagonals[lo] <= span[1]:
+            span = (span[0], d)
+            continue
+        if span is not None:
+            best = max(best, _aligned(item, ws, span, slack, one_in))
+        span = (diagonals[lo], d)
+    if span is not None:
         best = max(best, _aligned(item, ws, span, slack, one_in))
     return best / n if best >= share * n else 0.0
 

@@ -62,6 +62,10 @@ def test_planted(spark):
             want.add((i, k))
     docs += [(900, None, "x"), (901, "", "x"), (902, "one two", "x"), (None, docs[0][1], "x"), (903, " ".join(text(20_000) + items[0][1]), "x"), docs[0]]
     want.add((903, 0))
+    for j, (at, end) in enumerate([(0, 9), (9, 0), (0, 0)]):  # at either end of a document, or all of it
+        k, ws = items[j + 3]
+        docs.append((950 + j, " ".join(text(at) + ws + text(end)), "x"))
+        want.add((950 + j, k))
     rows = [(k, " ".join(ws), "b") for k, ws in items] + [(100, "just a stock phrase", "b"), (101, None, "b"), (102, "", "b"), (0, " ".join(items[0][1]), "b")]
     d = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string").repartition(2)
     p = spark.createDataFrame(rows, "item_id bigint, text string, doc_id string")
