@@ -102,7 +102,8 @@ def search(queries: DataFrame, concepts: DataFrame, k: int = 5, most: int = 100_
             yield pd.DataFrame(out, columns=["query_id", "uri", "label", "score", "rank"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.select("query_id", "query").mapInPandas(score, f"query_id {kind}, uri string, label string, score double, rank int")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, each of them work for every concept
+    return queries.select("query_id", "query").repartition(n).mapInPandas(score, f"query_id {kind}, uri string, label string, score double, rank int")
 
 
 def evidence(found: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -106,12 +106,14 @@ def unknown_documents(edges: DataFrame) -> DataFrame:
 
 
 def cause_effect(spark: SparkSession, path: str) -> DataFrame:
-    """SRC11: (document_id, text, cause, effect) of a tab-separated table with those columns: causalbank_<i>, `cause -> effect`."""
+    """SRC11: (document_id, text, cause, effect) of a tab-separated table with those columns: causalbank_<i> by row, `cause -> effect`, what is
+    missing being blank."""
     from pyspark.sql import Window
 
     df = spark.read.option("sep", "\t").option("header", True).csv(path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
     i = F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1
-    return df.where("cause IS NOT NULL AND effect IS NOT NULL").select(F.concat(F.lit("causalbank_"), i.cast("string")).alias("document_id"), F.concat_ws(" -> ", "cause", "effect").alias("text"), "cause", "effect")
+    cause, effect = (F.coalesce(c, F.lit("")) for c in ("cause", "effect"))
+    return df.select(F.concat(F.lit("causalbank_"), i.cast("string")).alias("document_id"), F.concat_ws(" -> ", cause, effect).alias("text"), cause.alias("cause"), effect.alias("effect"))
 
 
 def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:

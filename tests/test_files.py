@@ -63,7 +63,7 @@ def test_graph_shapes(spark, tmp_path):
 
 def test_tables(spark, tmp_path):
     t = write(tmp_path / "c.tsv", "cause\teffect\nrain\tflood\n\tx\nheat\tfire\n")
-    assert [(r.document_id, r.text) for r in files.cause_effect(spark, t).orderBy("document_id").collect()] == [("causalbank_0", "rain -> flood"), ("causalbank_1", "heat -> fire")]
+    assert [(r.document_id, r.text) for r in files.cause_effect(spark, t).orderBy("document_id").collect()] == [("causalbank_0", "rain -> flood"), ("causalbank_1", " -> x"), ("causalbank_2", "heat -> fire")]
     a = write(tmp_path / "a.csv", "Index;Text;Cause\n1;a, b;c\n;;\n")
     df = files.sniffed_csv(spark, a)
     assert df.columns == ["index", "text", "cause"] and [r.text for r in df.collect()] == ["a, b"]
