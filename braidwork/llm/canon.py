@@ -55,6 +55,17 @@ def slips(a: str, b: str, most: int) -> int:
     """Letters inserted, deleted, replaced or swapped with their neighbour between a and b; most + 1 if more than most."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if a == b:
+        return 0
+    if most < 1:
+        return 1
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]
@@ -122,6 +133,10 @@ def _other_word(value: list[str], name: list[str], rest: set[str]) -> bool:
 def decide(value: list[str], candidates: list[tuple[int, list[str], float]], margin: float, known: frozenset[str] = frozenset()) -> int | None:
     """The entry that candidates (entry, name, cosine) give for a value; known: words of the value that the reference list has, which
     are no slips."""
+    words = sorted(core(value))
+    exact = {entry for entry, name, _ in candidates if sorted(core(name)) == words}
+    if len(exact) == 1:
+        return exact.pop()
     near: dict[int, tuple[int, float]] = {}
     own: dict[int, set[str]] = {}
     for entry, name, _ in candidates:

@@ -8,7 +8,6 @@ mixture if its hash is below its source's threshold: no sorting, no draw, and a
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +22,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _BITS, _STEP = 60, 12
 
 
-@functools.lru_cache(2)
 def _encoding(path: str):
     import tiktoken
 
