@@ -8,6 +8,7 @@ from braidwork.functions import answers
 from braidwork.functions import text as txt
 from braidwork.operators import graph, relations, strategies
 from braidwork.plans.evaluation import LATEST, LONG, documents
+from braidwork.plans.graphs import EDGES
 from braidwork.plans.registry import query
 from braidwork.plans.retrieval import words_sql
 from braidwork.sources.tables import table
@@ -24,7 +25,7 @@ def truncate_context(spark, d):
     return table(spark, d, "documents").select("doc_id", txt.truncated("text", 500).alias("context"))
 
 
-@query("json_first")
+@query("json_first", "SELECT pred_id, json(raw_json)::VARCHAR AS value FROM esl_predictions")
 def json_first(spark, d):
     """The first JSON value in answers wrapped in prose and fences."""
     raw = F.concat(F.lit("Here {is} it: ```json\n"), "raw_json", F.lit("\n``` done"))
@@ -177,7 +178,11 @@ def _gold(messages):
     return "```json\n" + body.partition("GOLD")[2].partition("END\nDocument:")[0].replace("END", "") + "\n```"
 
 
-@query("strategy_kg_context")
+@query(
+    "strategy_kg_context",
+    f"""{EDGES}, h AS (SELECT s.document_id, row_number() OVER (PARTITION BY s.document_id ORDER BY s.pos, o) AS n, concat_ws(' ', '-', head, rel, tail) AS l FROM seeds s JOIN edges e ON s.node = e.head)
+    SELECT document_id, string_agg(l, chr(10) ORDER BY n) AS context FROM h WHERE n <= 200 GROUP BY document_id""",
+)
 def strategy_kg_context(spark, d):
     """The context that the graph strategy puts into its prompt."""
     docs = documents(spark, d)
@@ -187,10 +192,10 @@ def strategy_kg_context(spark, d):
 
 @query("pipeline_answers", "SELECT item_id AS task_id, 'claim_verification' AS task_type, 5::BIGINT AS n_evidence, '{\"label\":\"REFUTES\",\"rationale\":\"it says so\"}' AS output FROM eval_passages")
 def pipeline_answers(spark, d):
-    """Evaluation passages as claims against the primers, answered by a stand-in that always refutes."""
+    """Evaluation passages as claims against all documents, answered by a stand-in that always refutes."""
     from braidwork.plans.pipeline import Pipeline, dense
 
-    docs = table(spark, d, "documents").where("source = 'primer'").selectExpr("doc_id AS id", "text")
+    docs = table(spark, d, "documents").selectExpr("doc_id AS id", "text")
     tasks = table(spark, d, "eval_passages").select(F.col("item_id").alias("task_id"), F.lit("claim_verification").alias("task_type"), F.col("text").alias("query"))
     run = Pipeline(strategies.fixed("It REFUTES this.\nRATIONALE: it says so"), dense(docs)).run(tasks)
     return run.select("task_id", "task_type", "n_evidence", "output")

@@ -166,9 +166,9 @@ def relation_triples(spark, d):
     return gold_pred(spark, d)[0]
 
 
-@query("last_wins", f"WITH {LATEST} SELECT document_id, row_id, epoch_us(ingested_at) AS at_us FROM docs")
+@query("last_wins", f"WITH {LATEST} SELECT document_id, row_id, strftime(ingested_at, '%Y-%m-%d %H:%M:%S.%f') AS arrived FROM docs")
 def last_wins(spark, d):
-    return documents(spark, d).selectExpr("document_id", "row_id", "unix_micros(CAST(ingested_at AS timestamp)) AS at_us")
+    return documents(spark, d).selectExpr("document_id", "row_id", "date_format(ingested_at, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS arrived")
 
 
 @query(

@@ -137,9 +137,35 @@ def rdf_concepts(spark, d):
     return turtle.concepts(rdf(spark, d))
 
 
-@query("subontology")
+_KINDS = """n AS (SELECT uri, label, (row_number() OVER (ORDER BY uri) - 1) AS i, count(*) OVER () AS k FROM ontology_concepts),
+  dom AS (SELECT a.uri, a.label, b.uri AS target FROM n a JOIN n b ON b.i = (a.i * 7 + 3) % a.k WHERE a.i % 2 = 0), rng AS (SELECT a.uri, a.label, b.uri AS target FROM n a JOIN n b ON b.i = (a.i * 11 + 5) % a.k WHERE a.i % 3 = 0)"""
+
+
+def stand_in(spark, d):
+    """Concepts taken for properties: every second has a domain, every third a range among the others, by their place in order of uri;
+    the table is fixed, so its one ordered pass is bounded."""
+    from pyspark.sql import Window
+
+    n = table(spark, d, "ontology_concepts").select("uri", "label", (F.row_number().over(Window.orderBy("uri")) - 1).alias("i"))
+    k = n.agg(F.count("*").alias("k"))
+    a, b = n.join(k), n.select(F.col("uri").alias("o"), F.col("i").alias("j"))
+    side = lambda p, step, x, y: a.where(F.col("i") % step == 0).join(b, (F.col("i") * x + y) % F.col("k") == F.col("j")).select(F.col("uri").alias("s"), F.lit(f"{turtle.RDFS}{p}").alias("p"), "o", F.lit(True).alias("o_is_iri"))
+    names = n.select(F.col("uri").alias("s"), F.lit(f"{turtle.RDFS}label").alias("p"), F.col("label").alias("o"), F.lit(False).alias("o_is_iri"))
+    return side("domain", 2, 7, 3).unionAll(side("range", 3, 11, 5)).unionAll(names)
+
+
+@query(
+    "subontology",
+    f"""{_TARGETS}, {_KINDS}, props AS (SELECT uri, any_value(label) AS label FROM (SELECT uri, label FROM dom UNION ALL SELECT uri, label FROM rng) GROUP BY uri),
+    docs_t AS (SELECT DISTINCT document_id FROM targets), dm AS (SELECT t.document_id, d.uri, d.target FROM dom d JOIN targets t ON t.uri = d.target AND t.kind = 'class'), rm AS (SELECT DISTINCT t.document_id, r.uri, r.target FROM rng r JOIN targets t ON t.uri = r.target)
+    SELECT document_id, uri, label, domain, range, kept_because FROM (SELECT d.document_id, p.uri, p.label, (SELECT min(target) FROM dm WHERE dm.document_id = d.document_id AND dm.uri = p.uri) AS domain,
+      (SELECT min(target) FROM rm WHERE rm.document_id = d.document_id AND rm.uri = p.uri) AS range, p.uri IN (SELECT uri FROM dom) AS hd, p.uri IN (SELECT uri FROM rng) AS hr,
+      CASE WHEN p.uri IN (SELECT uri FROM dom) AND p.uri IN (SELECT uri FROM rng) THEN 'domain_and_range_match' WHEN p.uri IN (SELECT uri FROM dom) THEN 'domain_match_range_open' ELSE 'range_match_domain_open' END AS kept_because
+      FROM docs_t d, props p) WHERE (NOT hd OR domain IS NOT NULL) AND (NOT hr OR range IS NOT NULL)""",
+)
 def subontology(spark, d):
-    return ontology.properties(rdf(spark, d), ontology.targets(documents(spark, d)))
+    p = ontology.properties(stand_in(spark, d), ontology.targets(documents(spark, d)))
+    return p.select("document_id", "uri", "label", F.get("domains", F.lit(0)).alias("domain"), F.get("ranges", F.lit(0)).alias("range"), "kept_because")
 
 
 @query("subontology_turtle")

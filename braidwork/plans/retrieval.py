@@ -16,8 +16,8 @@ def words_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '{SPACE}'), lambda w: w <> '')"
 
 
-def vectors_sql(name: str, source: str, key: str, where: str = "true") -> str:
-    return f"""{name}_t AS (SELECT {key} AS id, unnest({words_sql('text')}) AS t FROM {source} WHERE {where}),
+def vectors_sql(name: str, source: str, key: str, where: str = "true", text: str = "text") -> str:
+    return f"""{name}_t AS (SELECT {key} AS id, unnest({words_sql(text)}) AS t FROM {source} WHERE {where}),
   {name}_n AS (SELECT id, ('0x' || substr(md5(t), 31, 2))::INT AS bucket, count(*) AS n FROM {name}_t GROUP BY ALL),
   {name} AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM {name}_n)"""
 
@@ -104,22 +104,18 @@ def kg_guided_topk(spark, d):
     return guided(spark, d)
 
 
-_LEXICAL = f"""lw AS (SELECT item_id, unnest(list_distinct({words_sql('text')})) AS w FROM eval_passages), dw AS (SELECT doc_id, unnest(list_distinct({words_sql('text')})) AS w FROM documents WHERE source = 'primer'),
-  lh AS (SELECT item_id, doc_id, count(*) AS n FROM lw JOIN dw USING (w) GROUP BY ALL),
-  lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id)::INT AS rank FROM lh) WHERE rank <= 5)"""
+_TITLES = f"""{vectors_sql('t', 'documents', 'doc_id', text='title')}, td AS (SELECT q.id AS item_id, t.id AS doc_id, round(sum(q.weight * t.weight), 9) AS score FROM t JOIN q USING (bucket) GROUP BY ALL),
+  titled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM td) WHERE rank <= 5)"""
 
 
 @query(
     "rrf_fusion",
-    f"""{dense_sql(5)}, {_LEXICAL}, b AS (SELECT item_id, doc_id, rank, 0 AS no FROM dense UNION ALL SELECT item_id, doc_id, rank, 1 FROM lexical),
+    f"""{dense_sql(5)}, {_TITLES}, b AS (SELECT item_id, doc_id, rank, 0 AS no FROM dense UNION ALL SELECT item_id, doc_id, rank, 1 FROM titled),
     f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min((no, rank)) AS first FROM b GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, "first")::INT AS rank FROM f) WHERE rank <= 5""",
 )
 def rrf_fusion(spark, d):
-    from braidwork.functions.text import words
-    from braidwork.operators.filters import top
-
-    left = table(spark, d, "eval_passages").select("item_id", F.explode(F.array_distinct(words("text"))).alias("w"))
-    right = table(spark, d, "documents").where("source = 'primer'").select("doc_id", F.explode(F.array_distinct(words("text"))).alias("w"))
-    lexical = top(right.join(left, "w").groupBy("item_id", "doc_id").count(), ["item_id"], [F.desc("count"), F.col("doc_id")], 5)
-    return retrieve.fuse([_dense(spark, d), lexical], ["doc_id"], "item_id")
+    """Documents found by text and by title, fused."""
+    titles = table(spark, d, "documents").select("doc_id", F.col("title").alias("text"))
+    by_title = retrieve.nearest(table(spark, d, "eval_passages"), titles, "item_id", "doc_id", "text").where("score > 0")
+    return retrieve.fuse([_dense(spark, d), by_title], ["doc_id"], "item_id")

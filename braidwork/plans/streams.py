@@ -14,20 +14,23 @@ from braidwork.sources.tables import table
 from braidwork.streaming import incremental
 
 
-@query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+@query("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     """Hourly counts of events read as a stream; its result is one row per hour and type."""
     stream = incremental.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
-    return incremental.run_to_end(incremental.windowed(stream), f"w{uuid.uuid4().hex}")
+    return incremental.run_to_end(incremental.windowed(stream), f"w{uuid.uuid4().hex}").withColumn("start", F.date_format("start", MICROS))
 
 
 @query(
     "event_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
-    s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+    s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def event_sessions(spark, d):
-    return incremental.sessions(table(spark, d, "events"))
+    return incremental.sessions(table(spark, d, "events")).withColumn("start", F.date_format("start", MICROS))
 
 
 @query("stream_evaluation", f"{MATCHED} SELECT *, {ROUND} FROM (SELECT (SELECT count(*) FROM docs) AS documents, count(*) FILTER (in_gold AND in_pred) AS tp, count(*) FILTER (in_pred AND NOT in_gold) AS fp, count(*) FILTER (in_gold AND NOT in_pred) AS fn FROM matched)")
