@@ -103,8 +103,7 @@ def levels(documents: DataFrame, labels: DataFrame, least: int = 20, rounds: int
     labels (doc_id, level, rater), and the mean of its levels' weights.
 
     Null levels, ratings out of 1..5 and repeated ratings of a rater don't count; null ids, texts and languages and other languages
-    have no level; repeated rows are rated each; without ratings there is no scale and ValueError is raised; other columns are not
-    read.
+    have no level; repeated rows are judged each; without a rated document there is no scale and no row; other columns are not read.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
@@ -116,7 +115,7 @@ def levels(documents: DataFrame, labels: DataFrame, least: int = 20, rounds: int
     held = stage(docs.mapInArrow(_occurrences(least), "id bigint, words array<int>"))
     table = stage(held.join(rated, "id", "left"))
     if table.where("rated IS NOT NULL").isEmpty():
-        raise ValueError("no document has a rating")
+        return spark.createDataFrame([], "doc_id bigint, level int, difficulty double")
     model = prior = None
     for k in range(rounds + 1):
         part = table.where("rated IS NOT NULL") if k == 0 else table
