@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as txt
-from braidwork.functions.embed import Hasher
+from braidwork.operators import retrieve
 from braidwork.operators.filters import top
 from braidwork.sources.turtle import OWL, RDF, RDFS, SKOS
 
@@ -129,26 +127,10 @@ def link(entities: DataFrame, concepts: DataFrame, k: int = 3, least: float = 0.
     """IDX13, JN5, WIN5: (document_id, entity_id, rank, concept_uri, label, score): the k concepts of best cosine for each entity's text, at
     least `least`, ties in the order of uri.  Concepts are held by the tasks (refused above `most`); entities are any number and
     never shuffled."""
-    rows = concepts.select("uri", "label", concept_text().alias("text")).orderBy("uri").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many concepts for the tasks to hold")
-    held = entities.sparkSession.sparkContext.broadcast((Hasher(dim)([r.text for r in rows]), [r.uri for r in rows], [r.label for r in rows]))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim)
-        matrix, uris, labels = held.value
-        for b in batches:
-            if not b.num_rows or not len(uris):
-                continue
-            s = np.round(hasher(b.column("text").to_pylist()) @ matrix.T, digits)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(s, order, 1)
-            row, rank = np.nonzero(score >= least)
-            pick = order[row, rank]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column("document_id").take(take), b.column("entity_id").take(take), pa.array((rank + 1).astype(np.int32)), pa.array([uris[j] for j in pick], pa.string()), pa.array([labels[j] for j in pick], pa.string()), pa.array(score[row, rank])], names=["document_id", "entity_id", "rank", "concept_uri", "label", "score"])
-
-    return entities.select("document_id", "entity_id", "text").mapInArrow(best, "document_id string, entity_id string, rank int, concept_uri string, label string, score double")
+    named = concepts.select(F.col("uri").alias("concept_uri"), "label", concept_text().alias("concept"))
+    best = retrieve.nearest_held(entities, named, ["document_id", "entity_id"], "text", "concept_uri", "concept", k, least, dim, digits, most)
+    labels = named.select("concept_uri", "label")
+    return best.join(F.broadcast(labels), "concept_uri").select("document_id", "entity_id", "rank", "concept_uri", "label", "score")
 
 
 def links_v1(linked: DataFrame, method: str = "embedding", ontology_key: str = "ontology", params: dict[str, str] | None = None, kind: str = "class") -> DataFrame:

@@ -94,6 +94,40 @@ def _best(held, item_id, value, k, score, dim, digits, least, names):
     return best
 
 
+def nearest_held(queries: DataFrame, items: DataFrame, keys: list[str], text: str, item_id: str, item_text: str, k: int = 5, least: float | None = None, dim: int = 256, digits: int = 9, most: int = 200_000) -> DataFrame:
+    """(keys..., item_id, score, rank): for each of any number of queries the k items of best cosine of hashed vectors, ties by item.
+
+    The other way round than nearest(): items are few and held by the tasks (refused above `most`), queries stream past them and are
+    never shuffled."""
+    rows = items.select(item_id, item_text).orderBy(item_id).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many items for the tasks to hold")
+    ids = pa.array([r[0] for r in rows])
+    held = queries.sparkSession.sparkContext.broadcast((ids, Hasher(dim)([r[1] for r in rows])))
+    schema = T.StructType([queries.schema[c] for c in keys] + [T.StructField(item_id, items.schema[item_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(dim)
+        ids, matrix = held.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            s = np.round(hasher(b.column(text).to_pylist()) @ matrix.T, digits)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(s, order, 1)
+            row, rank = np.nonzero(score >= least) if least is not None else np.nonzero(np.ones_like(score, bool))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keys), ids.take(pa.array(order[row, rank])).cast(pa_type(schema[item_id])), pa.array(score[row, rank]), pa.array((rank + 1).astype(np.int32))], names=schema.fieldNames())
+
+    return queries.select(*keys, text).mapInArrow(best, schema)
+
+
+def pa_type(field: T.StructField) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(field.dataType)
+
+
 def rerank(ranked: DataFrame, scorer: Callable[[DataFrame], Column] | Column, group: list[str], k: int) -> DataFrame:
     """WIN9: a second score, then the k best; ties keep the first ranking."""
     score = scorer(ranked) if callable(scorer) else scorer

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import answers
 from braidwork.functions import text as txt
-from braidwork.operators import graph, relations, strategies
+from braidwork.operators import filters, graph, ontology, relations, strategies
+from braidwork.plans import contexts
 from braidwork.plans.evaluation import LATEST, LONG, documents
 from braidwork.plans.graphs import EDGES
 from braidwork.plans.registry import query
@@ -186,8 +187,31 @@ def _gold(messages):
 def strategy_kg_context(spark, d):
     """The context that the graph strategy puts into its prompt."""
     docs = documents(spark, d)
-    near = graph.neighbourhood(docs, graph.gold_edges(docs))
-    return near.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", F.lit("-"), "head", "rel", "tail").alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+    return contexts.kg(docs, graph.gold_edges(docs))
+
+
+@query("strategy_chunk_context")
+def strategy_chunk_context(spark, d):
+    return contexts.ontology_chunks(documents(spark, d), table(spark, d, "chunk_orag_chunks"))
+
+
+@query("strategy_agent_context")
+def strategy_agent_context(spark, d):
+    docs = documents(spark, d)
+    linked = ontology.link(ontology.entity_texts(docs), table(spark, d, "ontology_concepts"))
+    return contexts.ontology_and_kg(docs, linked, graph.gold_edges(docs))
+
+
+@query("strategy_few_shots", f"""WITH {LATEST}, s AS (SELECT row_id, concat_ws(chr(10), 'Example:', CASE WHEN regexp_matches(text, '[^\\s\\x0b\\x85\\p{{Z}}]') THEN text ELSE coalesce(array_to_string(sentences, ' '), '') END) AS l
+  FROM (SELECT * FROM re_documents WHERE type = 'train' AND coalesce(len(list_filter(map_values(relations), lambda p: len(p) > 0)) > 0, false) ORDER BY row_id LIMIT 3)),
+  c AS (SELECT string_agg(l, chr(10) ORDER BY row_id) AS context FROM s) SELECT document_id, md5(context) AS shots FROM docs, c""")
+def strategy_few_shots(spark, d):
+    """The examples of the few-shot strategy, as one hash for each document (their relations left out)."""
+    every = table(spark, d, "re_documents")
+    shots = filters.few_shots(every, 3, [F.col("row_id")], pool_first=False).withColumn("relations", F.lit(None).cast("string"))
+    one = shots.select("row_id", F.concat_ws("\n", F.lit("Example:"), strategies.document_text()).alias("l"))
+    text = one.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "l"))), lambda x: x["l"]), "\n").alias("t"))
+    return documents(spark, d).select("document_id").join(F.broadcast(text)).select("document_id", F.md5("t").alias("shots"))
 
 
 @query("pipeline_answers", "SELECT item_id AS task_id, 'claim_verification' AS task_type, 5::BIGINT AS n_evidence, '{\"label\":\"REFUTES\",\"rationale\":\"it says so\"}' AS output FROM eval_passages")

@@ -109,3 +109,30 @@ def test_pipeline(spark):
         Pipeline(None).run(tasks)
     with pytest.raises(ValueError, match="retriever"):
         hybrid([])
+
+
+def test_contexts(spark):
+    from braidwork.operators import graph, ontology
+    from braidwork.plans import contexts
+
+    ents = {"E1": ("T", None, [m("Pump")]), "E2": ("", None, [m("seal")])}
+    cols = DOC.replace("ontology_links struct<a:int>", f"ontology_links struct<by_entity:map<string,struct<candidates:array<{ontology.CANDIDATE}>,selected:{ontology.CANDIDATE}>>>") + ", row_id bigint, type string"
+    rows = [("d1", "t", "pump text", None, ents, {"R": [["E1", "E2"], ["E2", "E1"]]}, None, 1, "train"), ("d2", None, " ", None, {}, {}, None, 2, "train"), ("d3", None, None, ["x"], {}, {"R": [["a", "b"]]}, None, 3, "test")]
+    d = spark.createDataFrame(rows, cols)
+    edges = graph.gold_edges(d)
+    by = lambda df: {r.document_id: r.context for r in df.collect()}
+    assert sorted(by(contexts.kg(d, edges))["d1"].split("\n")) == ["- E1 R E2", "- E2 R E1"] and set(by(contexts.triples(d, edges))) == {"d1"}
+    shots = by(contexts.few_shots(d, d, 1))
+    assert set(shots) == {"d1", "d2", "d3"} and shots["d3"].startswith("Example:\npump text\n{")
+    table = spark.createDataFrame([(1, 0, None, "all about pump text here"), (2, 1, 1, "pump text"), (3, 1, 9, "other")], "chunk_id bigint, is_leaf int, parent_id bigint, text string")
+    assert by(contexts.ontology_chunks(d, table, 1))["d1"] == "pump text"
+    assert by(contexts.ontology_chunks(d, table, 1, merge=2))["d1"] == "all about pump text here"
+    linked = spark.createDataFrame([("d1", "E1", 1, "Pump")], "document_id string, entity_id string, rank int, label string")
+    both = by(contexts.ontology_and_kg(d, linked, edges, 1))
+    assert both["d1"].split("\n")[0] == "E1 is a Pump" and len(both["d1"].split("\n")) == 2 and both["d3"] is None
+    found = spark.createDataFrame([(" PUMP", "moves water"), ("seal", "keeps tight"), ("zzz", "no")], "key string, text string")
+    assert by(contexts.looked_up(d, found)) == {"d1": "pump: moves water\nseal: keeps tight"}
+    embed = lambda df: df.withColumn("vector", F.when(F.contains("text", F.lit("pump")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    texts = spark.createDataFrame([("s1", "pump broke"), ("s2", "calm")], "sentence_id string, text string")
+    sent = spark.createDataFrame([("A", "s1", 1), ("B", "s2", 2)], "community string, sentence_id string, pos bigint")
+    assert by(contexts.communities(d, sent, embed(texts), texts, embed, top_communities=1))["d1"] == "- pump broke"

@@ -122,3 +122,28 @@ def test_run_from_configuration(spark, tmp_path):
     assert out.first().evidence == "[a/a-c0] the pump failed"
     assert json.loads((tmp_path / "run/metrics.json").read_text())["tasks"] == 1
     assert out.select(F.col("n_evidence")).first()[0] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from braidwork.__main__ import main
+
+    assert main(["queries"]) == 0 and "eval_rollup" in capsys.readouterr().out
+    assert main(["run", "eval_micro", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+    g = write(tmp_path / "g.jsonl", '{"document_id":"1","relations":{"A":[["x","y"],["u","v"]]}}\n')
+    p = write(tmp_path / "p.jsonl", '{"document_id":"1","pred_relations":{"A":[["x","y"]]}}\n')
+    main(["evaluate", g, p])
+    assert "P=1.0000 R=0.5000 F1=0.6667" in capsys.readouterr().out
+    raw = write(tmp_path / "train.jsonl", '{"id":"1","title":"t","sentences":["A fire ."],"events":[{"id":"e1","type":"T","mention":[]},{"id":"e2","type":"T","mention":[]}],"causal_relations":{"CAUSE":[["e1","e2"]]}}\n')
+    main(["convert", "maven_ere", raw, str(tmp_path / "docs")])
+    assert spark.read.json(str(tmp_path / "docs")).first().type == "train"
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "a", "b"])
+
+
+def test_registered_names(spark):
+    from braidwork.functions.register import register
+
+    assert register(spark, lambda texts: [[1.0]] * len(texts)) == ["first_json", "hash_embed", "embed"]
+    r = spark.sql("SELECT first_json('x {\"a\": 1}') AS j, size(hash_embed('pump')) AS n, embed('x') AS e").first()
+    assert (r.j, r.n, r.e) == ('{"a":1}', 256, [1.0])
