@@ -232,37 +232,43 @@ def _search(basis, shared, threshold: float, share: float, one_in: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, (items, groups) = basis.value, shared.value
         keys = list(items)
-        for b in batches:
-            docs, ids, out = [], [], []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = words(text)
-                if len(ws) >= _Q:
-                    docs.append(ws)
-                    ids.append(i)
-            for i, ws in zip(ids, docs, strict=True):
-                h = hashes(ws)
+        for whole in batches:
+            out = []
+            for b in (whole.slice(k, 50) for k in range(0, whole.num_rows, 50)):
+                texts = [(i, ws) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if len(ws := words(t)) >= _Q]
+                if not texts:
+                    continue
+                h, size = many([ws for _, ws in texts])
+                begin = np.cumsum(size) - size
                 w = buckets(h)
-                hits: list[int] = []
+                hits: dict[int, list[int]] = {}
                 for (width, step), (matrix, start, own) in groups.items():
-                    x = space.windows(w, width, step)
-                    top = np.full(matrix.shape[1], -1, np.float32)
-                    for c in range(0, len(x), 512):  # bounded memory for very long texts
-                        np.maximum(top, (x[c : c + 512] @ matrix).max(0), out=top)
-                    hits += own[np.maximum.reduceat(top, start) >= threshold].tolist()
-                if not hits:
-                    continue
-                grams = shingles(h, _Q).tolist()
-                have = set(grams)
-                for k in hits:
-                    if got := leaked(items[keys[k]], ws, grams, have, share, one_in):
-                        out.append((i, keys[k], got))
+                    xs = [space.windows(w[o : o + n], width, step) for o, n in zip(begin, size, strict=True)]
+                    count = np.array([len(x) for x in xs])
+                    x = np.concatenate(xs)
+                    of = np.repeat(np.arange(len(xs)), count)
+                    for c in range(0, len(x), 2048):  # bounded memory for very long texts
+                        part = of[c : c + 2048]
+                        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                        y = x[c : c + 2048] @ matrix
+                        for j, lo, hi in zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
+                            near = own[np.maximum.reduceat(y[lo:hi].max(0), start) >= threshold]
+                            if len(near):
+                                hits.setdefault(j, []).extend(near.tolist())
+                for j, ks in hits.items():
+                    i, ws = texts[j]
+                    grams = shingles(h[begin[j] : begin[j] + size[j]], _Q).tolist()
+                    have = set(grams)
+                    for k in dict.fromkeys(ks):
+                        if got := leaked(items[keys[k]], ws, grams, have, share, one_in):
+                            out.append((i, keys[k], got))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "item_id", "share"])
 
     return search
 
 
-def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.85, least: int = 15, share: float = 0.55, one_in: int = 10) -> DataFrame:
+def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, least: int = 15, share: float = 0.55, one_in: int = 10) -> DataFrame:
     """(doc_id, item_id, share): documents (doc_id, text) that hold a run with at least `share` of the words of a passage (item_id,
     text) of at least `least` words, at most one word in `one_in` of the run altered; share is that of the longest run.
 
