@@ -45,6 +45,7 @@ def test_cross_split(spark):
     big = " ".join(text(20_000))
     rows += [(1010, big, "train", "a", "k", 1), (1011, big.upper(), "test", "a", "k", 1)]
     rows += [(2000 + i, "Boiler plate " * 15, "train" if i % 3 else "test", "a", "k", 1) for i in range(12)]
+    rows += [(3000 + i, "alpha beta gamma " * 12 + x, "train" if i % 2 else "test", "a", "k", 1) for i, x in enumerate(["", "delta", "alpha", "beta beta"])]  # few distinct shingles
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, split string, source string, key string, id int").repartition(3)
     found = overlaps(docs)
     got = sorted(map(tuple, found.collect()))
