@@ -117,7 +117,7 @@ def apart(value: list[str], name: list[str]) -> int | None:
 
 
 def _other_word(value: list[str], name: list[str], rest: set[str]) -> bool:
-    """Whether a word of the value stands closer to a word of other names than to any of this one."""
+    """Whether a word of the value is a word of other names, or three slips or more from this one's and closer to one of those."""
     v, n = core(value), core(name)
     if len(v) > len(n):
         v = core(value, strict=True)
@@ -125,7 +125,8 @@ def _other_word(value: list[str], name: list[str], rest: set[str]) -> bool:
         return False  # words run together have no borders
     for w in v:
         own = min(slips(w, x, len(w)) for x in n)
-        if own and any(slips(w, x, own - 1) < own for x in rest - set(n)):
+        near = 0 if 0 < own < 3 else own - 1
+        if own and any(slips(w, x, near) <= near for x in rest - set(n)):
             return True
     return False
 

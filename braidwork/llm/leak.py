@@ -188,6 +188,7 @@ def longest_run(places: list[tuple[int, int]], one_in: int) -> int:
 class Item:
     """A passage that may leak, with its shingles' places."""
 
+    key: int
     words: list[str]
     places: dict[int, list[int]]
 
@@ -230,8 +231,8 @@ def _aligned(item: Item, ws: list[str], span: tuple[int, int], slack: int, one_i
 
 def _search(basis, shared, threshold: float, share: float, one_in: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, (items, groups) = basis.value, shared.value
-        keys = list(items)
+        space, (plain, groups) = Basis(basis.value), shared.value
+        items = [Item(*x) for x in plain]
         for whole in batches:
             out = []
             for b in (whole.slice(k, 50) for k in range(0, whole.num_rows, 50)):
@@ -260,8 +261,8 @@ def _search(basis, shared, threshold: float, share: float, one_in: int):
                     grams = shingles(h[begin[j] : begin[j] + size[j]], _Q).tolist()
                     have = set(grams)
                     for k in dict.fromkeys(ks):
-                        if got := leaked(items[keys[k]], ws, grams, have, share, one_in):
-                            out.append((i, keys[k], got))
+                        if got := leaked(items[k], ws, grams, have, share, one_in):
+                            out.append((i, items[k].key, got))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "item_id", "share"])
 
@@ -286,7 +287,7 @@ def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, le
     passes = max(1, -(-items.count() // ITEMS))
     found = None
     for k in range(passes):
-        chosen: dict[int, Item] = {}
+        chosen: list[tuple] = []  # plain values only: tasks need not import this module to read them
         groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id").collect():
             ws = words(r.text)
@@ -297,7 +298,7 @@ def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, le
             for j, g in enumerate(shingles(h, _Q).tolist()):
                 places.setdefault(g, []).append(j)
             groups.setdefault(scales(len(ws), share), []).append((len(chosen), buckets(h)))
-            chosen[r.item_id] = Item(ws, places)
+            chosen.append((r.item_id, ws, places))
         if not chosen:
             continue
         own = [w[a : a + 16].tolist() for g in groups.values() for _, w in g for a in range(0, len(w), 8)][:SAMPLE]
@@ -308,6 +309,6 @@ def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, le
             rows = [basis.windows(w, width, max(1, width // 4)) for _, w in members]
             start = np.cumsum([0] + [len(x) for x in rows[:-1]])
             packed[width, step] = (np.ascontiguousarray(np.concatenate(rows).T), start, np.array([j for j, _ in members]))
-        one = docs.mapInArrow(_search(sc.broadcast(basis), sc.broadcast((chosen, packed)), threshold, share, one_in), "doc_id bigint, item_id bigint, share double")
+        one = docs.mapInArrow(_search(sc.broadcast(basis.vectors), sc.broadcast((chosen, packed)), threshold, share, one_in), "doc_id bigint, item_id bigint, share double")
         found = one if found is None else found.unionAll(one)
     return found if found is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")
