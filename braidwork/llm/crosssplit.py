@@ -1,150 +1,23 @@
-"""Same or near-same records across splits, by an exact prefix-filter join on rare shingles.
+"""Same or near-same records across splits, by an exact prefix-filter join on rare words.
 
-Each text of an evaluation or training split becomes the set of its shingles (five words; three for short texts), put in one global
-order from rare to frequent.  If two sets of sizes x and y share at least t * max(x, y) shingles, the first x - t*x + m of the one and
-y - t*y + m of the other share at least m; so only these prefixes are joined, and only pairs with m hits are verified.
-Evaluation prefixes are the index, training prefixes probe it; the class of the text's length is part of the key.  A hit counts only if the lengths
-fit (length filter) and both places lie in the prefixes that a pair of these sizes needs (position filter), before anything is shuffled by pair.
-
-Order: shingle counts over all documents, in a count-min sketch of fixed size (2 x 65536 counters); any order is correct, a good one
-makes candidates few.  Overlap t = 0.5: one changed word spoils five shingles, so a similarity of 0.8 would not hold one changed word in
-ten; 0.5 holds all pairs up to 10 % changed words (shingles of three, for short texts: 16 %).
+Each text of an evaluation or training split becomes the bag of its words, so neither the order of sentences nor where words are changed
+matters.  Near-same texts share the words that bags.py bounds; only the prefixes that must meet are joined, evaluation prefixes as the
+index and training prefixes as the probe, and what passes the exact filters is verified on the words.  The number of words that must be
+shared follows from `one_in` alone: no pair that verification would accept is left out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm import sketch
-from braidwork.llm.texts import classes, fingerprint, verified
-from braidwork.llm.words import many, many_shingles, words
+from braidwork.llm import bags
+from braidwork.llm.texts import classes, verified
 from braidwork.session import stage
 
 # The splits that mean training and those that mean evaluation.
 TRAIN, EVALUATION = ("train",), ("test", "dev", "valid", "val")
 
-#: Slots of each of the sketch's two rows; texts that are handled at once.
-_SLOTS, _TEXTS = 1 << 16, 1000
-#: Words, shingles and places are packed into 20 bits each.
-_MOST = 1 << 20
-_KEPT = "id bigint, side int, hi bigint, lo bigint, block int, salt int, counts binary"
-
-
-def widths(n: np.ndarray) -> tuple[tuple[int, np.ndarray], ...]:
-    """Shingle widths and which texts of n words have them; in the zone where two near-same texts may differ in class, both."""
-    return (5, n >= 50), (3, n <= 60)
-
-
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(48)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(_SLOTS - 1)).astype(np.int64)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[int], list[list[str]]]]:
-    """Ids, sides and words of the texts that are long enough, some at once."""
-    for whole in batches:
-        for b in (whole.slice(k, _TEXTS) for k in range(0, whole.num_rows, _TEXTS)):
-            rows = [(i, side, ws) for i, side, text in zip(*(b.column(n).to_pylist() for n in ("id", "side", "text")), strict=True) if len(ws := words(text)) >= least]
-            if rows:
-                yield tuple(map(list, zip(*rows, strict=True)))
-
-
-def _measure(least: int):
-    names = [x.split()[0] for x in _KEPT.split(", ")]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, _SLOTS), np.int64)
-        for ids, sides, texts in _texts(batches, least):
-            h, size = many(texts)
-            for q, has in widths(size):
-                g, text = many_shingles(h, size, q)
-                for row, slots in zip(counts, _slots(g[has[text]]), strict=True):
-                    row += np.bincount(slots, minlength=_SLOTS)
-            hi, lo = zip(*map(fingerprint, texts), strict=True)
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        rows = sketch.pack(counts.ravel(), TaskContext.get().partitionId())
-        if rows:
-            m = len(rows)
-            block, salt, packed = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(block, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], names=names)
-
-    return measure
-
-
-def _prefixes(least: int, overlap: float, hits: int, one_in: int, table):
-    step = 2.002 * math.log(one_in / (one_in - 1))  # a class is twice as wide as lengths of near-same texts may lie apart, and a little
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = table.value
-        seen: set[tuple] = set()
-        for ids, sides, texts in _texts(batches, least):
-            new = []
-            for k, ws in enumerate(texts):  # a copy in this task is left out; other tasks' copies fall together by class
-                own = fingerprint(ws)
-                if own not in seen:
-                    new.append(k)
-                    if len(seen) < 200_000:
-                        seen.add(own)
-            if not new:
-                continue
-            evaluation = sides[0] == 1
-            own = np.array([ids[k] for k in new], np.int64)
-            h, size = many([texts[k] for k in new])
-            length = np.log(size) / step
-            bucket = length.astype(np.int64)
-            nearer = np.where(length - bucket < 0.5, -1, 1)  # so partners are in the own class or in the one that is nearer
-            keys, text, places = [], [], []
-            for q, has in widths(size):
-                g, t = many_shingles(h, size, q)
-                g, t = g[has[t]], t[has[t]]
-                if not len(g):
-                    continue
-                one, two = _slots(g)
-                rank = np.minimum(rarity[0][one], rarity[1][two]).astype(np.uint64)
-                # text, rarity, hash: sorted, each text's distinct shingles stand from rare to frequent
-                order = np.unique((t.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(42)) | (g & np.uint64((1 << 42) - 1)))
-                t = (order >> np.uint64(50)).astype(np.int64)
-                count = np.bincount(t, minlength=len(new))
-                place = np.arange(len(t)) - (np.cumsum(count) - count)[t]
-                need = np.ceil(overlap * count).astype(np.int64)
-                first = place < (count - need + np.minimum(hits, need))[t]
-                t = t[first]
-                large = count[t] >= _MOST  # too many for the bits: no position is told, so nothing is pruned by it
-                packed = (np.minimum(size[t], _MOST - 1) << 40) | (np.minimum(count[t], _MOST - 1) << 20) | np.where(large, 0, place[first])
-                base = ((order[first] & np.uint64((1 << 42) - 1)) << np.uint64(9)) | np.uint64((q == 3) << 8)
-                for own_class in (bucket[t], bucket[t] + nearer[t]) if evaluation else (bucket[t],):
-                    keys.append(base | (own_class & 255).astype(np.uint64))
-                    text.append(own[t])
-                    places.append(packed)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(text)), pa.array(np.concatenate(places))], names=["key", *(("e", "pe") if evaluation else ("t", "pt"))])
-
-    return prefixes
-
-
-def _rarity(counts: np.ndarray) -> np.ndarray:
-    """Counts on a scale of 8 steps a doubling, in 8 bits."""
-    return np.minimum(255, np.log2(counts + 1.0) * 8).astype(np.uint8)
-
-
-def _may(overlap: float, hits: int, one_in: int):
-    """Of a hit (pe, pt): whether the lengths let the texts be near-same and the places lie in the prefixes that this pair needs; and
-    its weight, so that the hits of a pair must weigh `hits`: fewer are needed where a whole set is smaller than that."""
-    words, sets, at = ([f(F.col(c)) for c in ("pe", "pt")] for f in (lambda c: F.shiftright(c, 40), lambda c: F.shiftright(c, 20).bitwiseAND(_MOST - 1), lambda c: c.bitwiseAND(_MOST - 1)))
-    need = F.ceil(F.lit(overlap) * F.greatest(*sets))
-    least = F.least(F.lit(hits), need)
-    near = (F.greatest(*words) - F.least(*words)) * one_in <= F.greatest(*words)
-    for n, i in zip(sets, at, strict=True):
-        near = near & (i < n - need + least)
-    return near, F.ceil(F.lit(hits) / least)
-
 
 def split_sides(documents: DataFrame) -> DataFrame:
     """(id, side, text) of the documents of training (0) and evaluation (1) splits that have text."""
@@ -152,7 +25,7 @@ def split_sides(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("id"), side.alias("side"), "text").where("side IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
 
 
-def overlaps(documents: DataFrame, least: int = 20, overlap: float = 0.5, hits: int = 8, one_in: int = 6) -> DataFrame:
+def overlaps(documents: DataFrame, least: int = 20, one_in: int = 6) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: all pairs of a training and an evaluation document (doc_id, text, split) of at least `least`
     words whose texts are the same or near-same: at most one word in `one_in` inserted, deleted or replaced.
 
@@ -160,17 +33,10 @@ def overlaps(documents: DataFrame, least: int = 20, overlap: float = 0.5, hits:
     pair with nothing; repeated rows give their pairs once; without evaluation documents there are no pairs; other columns are not
     read.
     """
-    spark = documents.sparkSession
     docs = split_sides(documents)
-    kept = stage(docs.mapInArrow(_measure(least), _KEPT))
-    counts = sketch.total(kept.where("block IS NOT NULL").select("block", "salt", "counts"), 2 * _SLOTS)
-    table = spark.sparkContext.broadcast(_rarity(counts.reshape(2, _SLOTS)))
+    kept = stage(bags.measured(docs, least))
     members = kept.where("block IS NULL").select("id", "side", "hi", "lo")
-    prefixes = _prefixes(least, overlap, hits, one_in, table)
-    index = docs.where("side = 1").mapInArrow(prefixes, "key bigint, e bigint, pe bigint")
-    probe = docs.where("side = 0").mapInArrow(prefixes, "key bigint, t bigint, pt bigint")
-    fits, weight = _may(overlap, hits, one_in)
-    met = index.join(probe, "key").where(fits).groupBy("e", "t").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= hits).select("e", "t")
+    met = bags.candidates(docs.where("side = 1"), docs.where("side = 0"), bags.rarity(kept), least, one_in)
     by_text = classes(members, F.max(F.col("side") == 1).alias("evaluation"), F.max(F.col("side") == 0).alias("training"))
     belongs = stage(members.join(by_text, ["hi", "lo"]).select("id", "side", "cls"))
     ids = belongs.select("id", "cls").distinct()
