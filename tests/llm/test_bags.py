@@ -39,3 +39,20 @@ def test_splits_at_the_limit(spark):
     texts = pairs(LENGTHS, lambda ws: spread(ws, 6, 5)) + pairs(LENGTHS, lambda ws: spread(ws, 8, 3)) + pairs(LENGTHS, lambda ws: [w for k, w in enumerate(ws) if k % 6 != 5]) + pairs(LENGTHS, lambda ws: [x for k, w in enumerate(ws) for x in ([w, "added"] if k % 6 == 5 else [w])])
     got, want = splits(spark, texts)
     assert got == want and len(want) >= 4 * len(LENGTHS) - 1  # a text of 20 words is too short once words are deleted
+
+
+def shuffled(ws, longest):
+    """The words as sentences of up to `longest` words that stand in another order."""
+    parts, k = [], 0
+    while k < len(ws):
+        n = rng.randrange(2, longest + 1)
+        parts.append(ws[k : k + n])
+        k += n
+    rng.shuffle(parts)
+    return [w for p in parts for w in p]
+
+
+def test_splits_sentences_in_another_order(spark):
+    texts = pairs(LENGTHS, lambda ws: shuffled(ws, 4)) + pairs(LENGTHS, lambda ws: shuffled(ws, 9)) + pairs(LENGTHS, lambda ws: shuffled(spread(ws, 8, 3), 6))
+    got, want = splits(spark, texts)
+    assert got == want and len(want) >= 3 * len(LENGTHS)
