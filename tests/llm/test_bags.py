@@ -3,6 +3,7 @@
 import random
 
 from braidwork.llm.crosssplit import overlaps
+from braidwork.llm.nearsame import near_groups, near_pairs
 from braidwork.llm.texts import same
 from braidwork.llm.words import words
 
@@ -56,3 +57,14 @@ def test_splits_sentences_in_another_order(spark):
     texts = pairs(LENGTHS, lambda ws: shuffled(ws, 4)) + pairs(LENGTHS, lambda ws: shuffled(ws, 9)) + pairs(LENGTHS, lambda ws: shuffled(spread(ws, 8, 3), 6))
     got, want = splits(spark, texts)
     assert got == want and len(want) >= 3 * len(LENGTHS)
+
+
+def test_groups_at_the_limit(spark):
+    lengths = [n for n in LENGTHS if n > 48]
+    texts = pairs(lengths, lambda ws: spread(ws, 6, 5)) + pairs(lengths, lambda ws: shuffled(spread(ws, 7, 3), 6)) + pairs(lengths, lambda ws: [w for k, w in enumerate(ws) if k % 6 != 5])
+    docs = spark.createDataFrame([(i, f"d{i:03}", " ".join(t), None) for i, t in enumerate(texts)], "row_id bigint, document_id string, text string, sentences array<string>").repartition(3)
+    full = [(f"d{i:03}", words(" ".join(t))) for i, t in enumerate(texts)]
+    want = [(a, b) for a, x in full for b, y in full if a < b and min(len(x), len(y)) >= 40 and same(x, y, 6)]
+    assert sorted(map(tuple, near_pairs(docs).collect())) == want and len(want) >= 3 * len(lengths)
+    group = {r.document_id: r.group_id for r in near_groups(docs).collect()}
+    assert all(group[a] == group[b] for a, b in want)
