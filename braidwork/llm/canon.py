@@ -1,8 +1,8 @@
 """Mapping freely typed values to the entries of a reference list.
 
 Distinct values are normalised (character form, case, accents, punctuation, lead-in, small words), their character n-grams retrieve
-candidates from the inverted index of the reference names, candidates are scored by the idf-weighted cosine, and the best few are held
-against an exact count of the slips that separate them.  A value is mapped if the cosine reaches the threshold, the slips stay within
+candidates from the inverted index of the reference names, candidates are scored by the idf-weighted cosine, and all from a threshold on are held
+against an exact count of the slips that separate them.  A value is mapped if the slips stay within
 what the name's length allows, and no other entry comes within the margin; else it is reported as unmatched.
 """
 
@@ -165,12 +165,11 @@ def _grammer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([grams(n.split()) for n in b.column("norm").to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "grams"])
 
 
-def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin: float = 0.02, keep: int = 12, unknown: float = 2.0, small: int = 200_000) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin: float = 0.02, unknown: float = 2.0, small: int = 200_000) -> DataFrame:
     """(kind, value, entry_id, cosine) for each distinct non-blank value of values (kind, value); entry_id -1: it names no entry.
 
-    entries is (entry_id, kind, label, aliases).  least: cosine from which a name is a candidate; margin: by how much the cosine
-    of the chosen entry must exceed that of another with as few slips; keep: names that are compared in full, the best by cosine; unknown: weight
-    of an n-gram that no name has.
+    entries is (entry_id, kind, label, aliases).  least: cosine from which a name is a candidate, all of which are compared in full; margin: by how much the cosine
+    of the chosen entry must exceed that of another with as few slips; unknown: weight of an n-gram that no name has.
     The index of names is broadcast if it has at most `small` postings, else joined by gram.  Null and blank values have no row;
     without entries every value gets -1; entries without label and aliases match nothing; ties between entries are unmatched.
     """
@@ -202,8 +201,7 @@ def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin
     )
     mine = Window.partitionBy("kind", "norm")
     scored = dots.withColumn("cosine", F.col("dot") / F.sqrt(F.max(F.when(F.col("entry_id").isNull(), F.col("dot"))).over(mine)))
-    ranked = scored.where(F.col("entry_id").isNull() | (F.col("cosine") >= least)).withColumn("rank", F.row_number().over(mine.orderBy(F.col("entry_id").isNotNull(), F.desc("cosine"), "entry_id", "name")))
-    best = ranked.where(F.col("rank") <= keep + 1).groupBy("kind", "norm").agg(F.collect_list(F.when(F.col("entry_id").isNotNull(), F.struct("entry_id", "name", "cosine"))).alias("best"))
+    best = scored.where(F.col("entry_id").isNull() | (F.col("cosine") >= least)).groupBy("kind", "norm").agg(F.collect_list(F.when(F.col("entry_id").isNotNull(), F.struct("entry_id", "name", "cosine"))).alias("best"))
 
     # words that the reference list has, joined in the same partitions
     words = found.where(F.col("gram").startswith("=") & F.col("idf").isNotNull()).groupBy("kind", "norm").agg(F.collect_set(F.substring("gram", 2, 1_000_000)).alias("known"))
