@@ -78,9 +78,7 @@ _HOP2 = f"""{EDGES}, h1 AS (SELECT s.document_id, row_number() OVER (PARTITION B
 @query("kg_bfs", f"{_HOP2} SELECT * FROM ranked WHERE rank <= 6 AND rel <> 'RESULT'")
 def kg_bfs(spark, d):
     docs = documents(spark, d)
-    edges = graph.gold_edges(docs)
-    kinds = [r.rel for r in edges.where("rel <> 'RESULT'").select("rel").distinct().limit(1000).collect()]
-    return graph.neighbourhood(docs, edges, 2, 6, post_relations=kinds)
+    return graph.neighbourhood(docs, graph.gold_edges(docs), 2, 6).where("rel <> 'RESULT'")
 
 
 @query(

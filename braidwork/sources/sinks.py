@@ -30,7 +30,7 @@ def csv_table(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def summary(results: DataFrame) -> DataFrame:
     """AGG19: (task_type, n_evidence, output, metric_*): the metrics map as columns, by name."""
-    names = sorted(r.k for r in results.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().limit(1000).collect())
+    names = sorted(r.k for r in results.select(F.explode(F.map_keys("metrics")).alias("k")).distinct().collect())
     return results.select("task_type", F.coalesce(F.size("evidence"), F.lit(0)).alias("n_evidence"), "output", *(F.try_element_at("metrics", F.lit(n)).alias(f"metric_{n}") for n in names))
 
 
