@@ -1,7 +1,9 @@
 """Splitting oversized items at natural boundaries by packing a structure tree.
 
-A text is a tree: headings, blank lines, list items and lines, sentences, clauses, words, characters.  A node that fits is one unit;
-only a node that does not is split by the next kind of boundary, its children's units being merged left to right up to the limit.
+A text is a tree: headings by their depth, blank lines, list items by their indent, lines, sentences, clauses, words, characters.  A node
+that fits is one unit; only a node that does not is split by the next kind of boundary, its children's units being merged left to right up
+to the limit.  Sections and list items are merged with siblings of one parent only: what an oversized one is split into joins neither the
+sibling before nor the one after.  Below them, units are packed across sentences and lines, so no scraps are left.
 So a cut lies at the strongest boundary that the limit allows.  Each piece begins exactly `overlap` characters before the end of the one
 before, so new text has limit - overlap characters in all pieces but the first.
 """
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 _BORDERS = tuple(
     re.compile(p)
     for p in (
-        r"\n(?=#{1,6}\s)",  # headings
+        r"\n(?=(#{1,6})\s)",  # headings
         r"\n[ \t]*\n\s*",  # blank lines
-        r"\n(?=[ \t]*(?:[-*•]|\d+[.)])[ \t])|[ \t]\.[ \t]*\n(?=\S)",  # list items, statements of markup
+        r"\n(?=([ \t]*)(?:[-*•]|\d+[.)])[ \t])",  # list items
+        r"[ \t]\.[ \t]*\n(?=\S)",  # statements of markup
         r"\n+|(?<=>)(?=<)",  # lines, elements
         r"(?<=[.!?…。！？])[\"”’)\]]*\s+|[ \t]\.[ \t]+(?=\S)",  # sentences
         r"(?<=[;:])\s+",  # clauses
@@ -29,6 +32,13 @@ _BORDERS = tuple(
         r"\s+",  # words
     )
 )
+#: What begins a node of the levels that nest, its depth in a group; depths beyond DEEPEST count as that.
+_NODES = {0: re.compile(r"(#{1,6})\s"), 2: re.compile(r"([ \t]*)(?:[-*•]|\d+[.)])[ \t]")}
+DEEPEST = 40
+
+
+def _depth(mark: str) -> int:
+    return min(len(mark.expandtabs(4)), DEEPEST)
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -51,10 +61,17 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 ends.append(cut)
                 start = cut
             return start
-        cuts = [m.end() for m in _BORDERS[level].finditer(text, lo, hi) if lo < m.end() < hi]
+        found = [m for m in _BORDERS[level].finditer(text, lo, hi) if lo < m.end() < hi]
+        own = None
+        if found and level in _NODES:  # only the outermost nodes; theirs are split in turn
+            own = min(_depth(m[1]) for m in found)
+            first = _NODES[level].match(text, lo, hi)
+            lead = not first or _depth(first[1]) != own  # what stands before the first node is the parent's, and goes with that node
+            found = [m for m in found if _depth(m[1]) == own]
+        cuts = [m.end() for m in found]
         if not cuts:
             return fill(lo, hi, level + 1, start)
-        for a, b in zip([lo, *cuts], [*cuts, hi], strict=True):
+        for k, (a, b) in enumerate(zip([lo, *cuts], [*cuts, hi], strict=True)):
             size = room + (overlap if start == 0 else 0)
             if b - start <= size:
                 continue  # joins its siblings
@@ -63,10 +80,14 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                     ends.append(a)
                     start = a
                 continue
-            if a > start and a - start >= size // 2:  # an oversized child begins a unit of its own, unless that left a scrap
+            alone = own is not None and a >= overlap and (k > 1 or k == 1 and not lead)
+            if a > start and (alone or a - start >= size // 2):  # an oversized child begins a unit of its own, unless that left a scrap
                 ends.append(a)
                 start = a
-            start = fill(a, b, level + 1, start)
+            start = fill(a, b, level if own is not None else level + 1, start)
+            if own is not None and start < b < hi and b >= overlap and (k or not lead):
+                ends.append(b)
+                start = b
         return start
 
     fill(0, len(text), 0, 0)
