@@ -1,16 +1,17 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval and alignment of the candidates.
 
 Item and document passages are short windows of words.  A randomised SVD of the TF-IDF matrix of passages (word buckets of fixed number, idf
-over all documents) gives a latent space; its range finder runs as Spark jobs over a bounded sample of passages (SAMPLE, by hash, with
-the windows of the items), and every window of every document is projected and compared with all item windows.  As word vectors add up,
-a document's windows are sums of sums of its steps.  A document and an item of which two windows reach the cosine threshold are a
-candidate; then the longest common subsequence of their words, taken where shared shingles lie along one diagonal, must hold a run with
-the asked share of the item and few alterations.  An answer, number or name that was changed counts as an alteration like any word.
+over all documents) gives a latent space; its range finder runs as Spark jobs over a bounded sample of passages (SAMPLE of the documents' and
+SAMPLE of the items', both by hash), and every window of every document is projected.  As word vectors add up, a document's windows are sums of
+sums of its steps.  Item windows lie in cells around about twice the square root of their number of centres; a document window is compared with
+the centres, and with the members of those cells only that may hold a window within the cosine threshold, an exact bound.  A document and an item
+of which two windows reach the threshold are a candidate at the place where the windows meet; there the longest common subsequence of their words
+must hold a run with the asked share of the item and few alterations, no shared shingle being asked for.  An answer, number or name that was
+changed counts as an alteration like any word.
 """
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import sketch
-from braidwork.llm.words import hashes, many, mix, shingles, words
+from braidwork.llm.words import hashes, many, mix, words
 from braidwork.session import stage
 
-#: Word buckets, latent dimensions (and spare ones of the range finder), passages that fit the basis, items of one pass.
-BUCKETS, DIMS, SPARE, SAMPLE, ITEMS = 1 << 15, 64, 8, 20_000, 20_000
+#: Word buckets, latent dimensions (and spare ones of the range finder), passages of documents, and of items, that fit the basis at most, and
+#: words by which two windows that meet may be shifted.
+BUCKETS, DIMS, SPARE, SAMPLE, SLIDE = 1 << 15, 64, 8, 20_000, 16
 _KEPT = "block int, salt int, counts binary, rank bigint, words array<int>"
-_Q = 3
 
 
 def scales(n: int, share: float = 0.55) -> tuple[int, int]:
@@ -48,9 +49,11 @@ class Basis:
 
     vectors: np.ndarray
 
-    def windows(self, b: np.ndarray, width: int, step: int) -> np.ndarray:
-        """Unit vectors of the windows of a text, begun every `step` words, from sums of steps; the last window ends with the text."""
+    def windows(self, b: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of the windows of a text and their first words, begun every `step` words, from sums of steps; the last window ends
+        with the text."""
         n = len(b)
+        at = np.zeros(1, np.int64)
         if n <= width:
             x = self.vectors[b].sum(0, keepdims=True)
         else:
@@ -61,13 +64,16 @@ class Basis:
             x = sums[start]
             for k in range(1, width // each):
                 x = x + sums[start + k]
-            if start[-1] * each + width < n:
+            at = start * each
+            if at[-1] + width < n:
                 x = np.concatenate([x, self.vectors[b[n - width :]].sum(0, keepdims=True)])
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6)
+                at = np.append(at, n - width)
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6), at
 
 
-def _measure(rate: float):
-    cut = int(rate * 2**63)
+def _measure(rate: float, step: int = 16):
+    """Tasks' counts of the documents that hold each word bucket, and a hash-chosen share of the passages of 16 words, begun every `step`."""
+    cut = int(rate * (2**63 - 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS, np.int64)
@@ -79,9 +85,9 @@ def _measure(rate: float):
                 count += np.bincount(np.unique((text << 16) | w) & 0xFFFF, minlength=BUCKETS)
                 begin = np.cumsum(size) - size
                 place = np.arange(len(w)) - begin[text]
-                start = np.flatnonzero((place % 16 == 0) & (place + 16 <= size[text]))
+                start = np.flatnonzero((place % step == 0) & ((place + 16 <= size[text]) | (place == 0)))
                 rank = (mix(mix((b.column("id").to_numpy()[text[start]] * 1000003 + place[start]).view(np.uint64))) >> np.uint64(1)).astype(np.int64)
-                picked += [(int(r), w[k : k + 16].tolist()) for r, k in zip(rank[rank < cut], start[rank < cut], strict=True)]
+                picked += [(int(r), w[k : min(k + 16, begin[text[k]] + size[text[k]])].tolist()) for r, k in zip(rank[rank <= cut], start[rank <= cut], strict=True)]
             if picked:
                 m = len(picked)
                 yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([p[0] for p in picked], pa.int64()), pa.array([p[1] for p in picked], pa.list_(pa.int32()))], names=["block", "salt", "counts", "rank", "words"])
@@ -186,129 +192,166 @@ def longest_run(places: list[tuple[int, int]], one_in: int) -> int:
 
 @dataclass
 class Item:
-    """A passage that may leak, with its shingles' places."""
+    """A passage that may leak, with the places of each of its words as bits."""
 
     key: int
     words: list[str]
-    places: dict[int, list[int]]
-
-    @functools.cached_property
-    def known(self) -> frozenset[int]:
-        return frozenset(self.places)
-
-
-def leaked(item: Item, ws: list[str], grams: list[int], own: set[int], share: float, one_in: int) -> float:
-    """The share of the item that the longest run of it in a text holds; 0 if it is below `share`."""
-    n = len(item.words)
-    least = share * n * (1 - _Q / one_in) - _Q  # a run of that length with that many alterations shares at least so many shingles
-    common = item.known & own
-    if len(common) < least * 0.95:
-        return 0.0
-    slack = int(n / one_in) + 2
-    diagonals = sorted(p - j for p, g in enumerate(grams) if g in common for j in item.places[g])
-    lo, best = 0, 0
-    span: tuple[int, int] | None = None
-    for hi, d in enumerate(diagonals):
-        while d - diagonals[lo] > slack:
-            lo += 1
-        if hi - lo + 1 < least * 0.95:
-            continue
-        if span is not None and diagonals[lo] <= span[1]:
-            span = (span[0], d)
-            continue
-        if span is not None:
-            best = max(best, _aligned(item, ws, span, slack, one_in))
-        span = (diagonals[lo], d)
-    if span is not None:
-        best = max(best, _aligned(item, ws, span, slack, one_in))
-    return best / n if best >= share * n else 0.0
 
+    def __post_init__(self):
+        self.bits: dict[str, int] = {}
+        for j, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << j
+
+    def common(self, part: list[str]) -> int:
+        """Length of the longest common subsequence with a part of a text."""
+        full = (1 << len(self.words)) - 1
+        row = full
+        for at in filter(None, map(self.bits.get, part)):
+            u = row & at
+            row = ((row + u) | (row - u)) & full
+        return len(self.words) - row.bit_count()
+
+    def aligned(self, part: list[str], share: float, one_in: int) -> int:
+        """Words of the item in its longest run within a part of a text; 0 if it is below `share` of the item."""
+        least = share * len(self.words)
+        if self.common(part) < least * (1 - 1 / one_in):  # a run of that share with that many alterations matches at least so many words
+            return 0
+        got = longest_run(subsequence(self.words, part), one_in)
+        return got if got >= least else 0
+
+
+def stretches(diagonals: np.ndarray, slack: int) -> list[tuple[int, int]]:
+    """Runs (first, last) of sorted diagonals that lie within slack of one another."""
+    cut = np.flatnonzero(diagonals[1:] - diagonals[:-1] > slack).tolist()
+    return [(int(diagonals[a]), int(diagonals[b])) for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(diagonals) - 1], strict=True)]
 
-def _aligned(item: Item, ws: list[str], span: tuple[int, int], slack: int, one_in: int) -> int:
-    part = ws[max(0, span[0] - slack) : max(0, span[1] + len(item.words) + slack)]
-    return longest_run(subsequence(item.words, part), one_in) if part else 0
+
+@dataclass
+class Cells:
+    """Item windows in cells around centres: a window can reach the cosine `threshold` with a member only if its angle to the centre is at
+    most the threshold's plus the cell's radius, so most cells are passed over without comparing their members, and no pair is lost."""
+
+    centres: np.ndarray  # (cells, DIMS)
+    bound: np.ndarray  # cosine with the centre from which a cell must be looked into
+    members: list[np.ndarray]  # (DIMS, windows of the cell)
+    item: list[np.ndarray]
+    start: list[np.ndarray]
+
+    @classmethod
+    def of(cls, x: np.ndarray, item: np.ndarray, start: np.ndarray, threshold: float, rounds: int = 4) -> Cells:
+        n = len(x)
+        k = max(1, min(n, int(2 * np.sqrt(n))))
+        centres = x[np.linspace(0, n - 1, k).astype(np.int64)].copy()
+        for _ in range(rounds):
+            own = np.concatenate([(x[c : c + 8192] @ centres.T).argmax(1) for c in range(0, n, 8192)])
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+            centres = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), centres)
+        own = np.concatenate([(x[c : c + 8192] @ centres.T).argmax(1) for c in range(0, n, 8192)])
+        order = np.argsort(own, kind="stable")
+        used, begin = np.unique(own[order], return_index=True)
+        parts = np.split(order, begin[1:])
+        reach = np.arccos(threshold)
+        bound = [np.cos(min(np.pi, reach + np.arccos(np.clip((x[p] @ centres[c]).min(), -1, 1)) + 1e-3)) for c, p in zip(used, parts, strict=True)]
+        return cls(np.ascontiguousarray(centres[used].T), np.array(bound, np.float32), [np.ascontiguousarray(x[p].T) for p in parts], [item[p] for p in parts], [start[p] for p in parts])
+
+    def plain(self) -> tuple:
+        return self.centres, self.bound, self.members, self.item, self.start
+
+    def near(self, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of x, items, starts of their windows) of the windows that reach the threshold, cell by cell."""
+        open_ = x @ self.centres >= self.bound
+        for c in np.flatnonzero(open_.any(0)).tolist():
+            rows = np.flatnonzero(open_[:, c])
+            r, m = np.nonzero(x[rows] @ self.members[c] >= threshold)
+            if len(r):
+                yield rows[r], self.item[c][m], self.start[c][m]
 
 
 def _search(basis, shared, threshold: float, share: float, one_in: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, (plain, groups) = Basis(basis.value), shared.value
-        items = [Item(*x) for x in plain]
+        space, (items, packed) = Basis(basis.value), shared.value
+        items, groups = [Item(*x) for x in items], {k: Cells(*v) for k, v in packed.items()}
         for whole in batches:
             out = []
-            for b in (whole.slice(k, 50) for k in range(0, whole.num_rows, 50)):
-                texts = [(i, ws) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if len(ws := words(t)) >= _Q]
+            for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+                texts = [(i, ws) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if (ws := words(t))]
                 if not texts:
                     continue
                 h, size = many([ws for _, ws in texts])
                 begin = np.cumsum(size) - size
                 w = buckets(h)
-                hits: dict[int, list[int]] = {}
-                for (width, step), (matrix, start, own) in groups.items():
-                    xs = [space.windows(w[o : o + n], width, step) for o, n in zip(begin, size, strict=True)]
-                    count = np.array([len(x) for x in xs])
-                    x = np.concatenate(xs)
-                    of = np.repeat(np.arange(len(xs)), count)
-                    for c in range(0, len(x), 2048):  # bounded memory for very long texts
-                        part = of[c : c + 2048]
-                        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                        y = x[c : c + 2048] @ matrix
-                        for j, lo, hi in zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
-                            near = own[np.maximum.reduceat(y[lo:hi].max(0), start) >= threshold]
-                            if len(near):
-                                hits.setdefault(j, []).extend(near.tolist())
-                for j, ks in hits.items():
-                    i, ws = texts[j]
-                    grams = shingles(h[begin[j] : begin[j] + size[j]], _Q).tolist()
-                    have = set(grams)
-                    for k in dict.fromkeys(ks):
-                        if got := leaked(items[k], ws, grams, have, share, one_in):
-                            out.append((i, items[k].key, got))
+                hits: list[np.ndarray] = []
+                for (width, step), cells in groups.items():
+                    made = [space.windows(w[o : o + n], width, step) for o, n in zip(begin, size, strict=True)]
+                    x, of = np.concatenate([m[0] for m in made]), np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+                    place = np.concatenate([m[1] for m in made])
+                    for c in range(0, len(x), 8192):  # bounded memory for very long texts
+                        for rows, own, start in cells.near(x[c : c + 8192], threshold):
+                            hits.append(np.stack([of[c + rows], own, place[c + rows] - start], 1))
+                if not hits:
+                    continue
+                found = np.unique(np.concatenate(hits), axis=0)
+                cut = [0, *(np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(1)) + 1).tolist(), len(found)]
+                for one in (found[a:b] for a, b in zip(cut, cut[1:])):  # noqa: B905
+                    (i, ws), item = texts[one[0, 0]], items[one[0, 1]]
+                    n, best = len(item.words), 0
+                    slack = n // one_in + 2 + SLIDE
+                    for lo, hi in stretches(one[:, 2], 2 * slack):
+                        room = n + 2 * slack  # a run lies wholly within one of the parts of twice that size
+                        for at in range(lo - slack, max(hi - slack, lo - slack + 1), room):
+                            best = max(best, item.aligned(ws[max(0, at) : max(0, min(at + 2 * room, hi + n + slack))], share, one_in))
+                    if best:
+                        out.append((i, item.key, best / n))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "item_id", "share"])
 
     return search
 
 
-def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, least: int = 15, share: float = 0.55, one_in: int = 10) -> DataFrame:
+def _passes(items: DataFrame, words_of_pass: int) -> int:
+    """Passes over the documents, so that the items of each have about `words_of_pass` words at most."""
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    return max(1, -(-total // words_of_pass))
+
+
+def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, least: int = 15, share: float = 0.55, one_in: int = 10, words_of_pass: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, share): documents (doc_id, text) that hold a run with at least `share` of the words of a passage (item_id,
     text) of at least `least` words, at most one word in `one_in` of the run altered; share is that of the longest run.
 
-    Passages are held by the tasks in passes of at most ITEMS of them.  The search has no shuffle.  Null ids and texts, texts and
+    Passages are held by the tasks in passes of about `words_of_pass` words (each word has at most two window vectors of DIMS floats, so
+    what is broadcast is bounded); one latent basis serves all passes.  The search has no shuffle.  Null ids and texts, texts and
     passages without words, and an empty table on either side give no rows; repeated rows are found as often as they stand there (of
     repeated passage ids one is kept); other columns are not read.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
     docs = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    items = passages.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
+    items = passages.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     total = docs.count()
     kept = stage(docs.mapInArrow(_measure(min(1.0, SAMPLE / max(1, 2 * total))), _KEPT))
     idf = np.log1p(total / (1.0 + sketch.total(kept.where("block IS NOT NULL").select("block", "salt", "counts"), BUCKETS)))
-    passes = max(1, -(-items.count() // ITEMS))
+    asked = items.select(F.col("item_id").alias("id"), "text").mapInArrow(_measure(1.0, 8), _KEPT).where("rank IS NOT NULL").select("rank", "words")
+    sample = kept.where("rank IS NOT NULL").select("rank", "words").orderBy("rank").limit(SAMPLE).unionAll(asked.orderBy("rank").limit(SAMPLE))
+    basis = fit(stage(sample.select("words").repartition(4)), idf)
+    passes = _passes(items, words_of_pass)
     found = None
     for k in range(passes):
         chosen: list[tuple] = []  # plain values only: tasks need not import this module to read them
         groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id").collect():
+        for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id").collect():  # about words_of_pass words
             ws = words(r.text)
-            if len(ws) < max(least, _Q):
-                continue
-            h = hashes(ws)
-            places: dict[int, list[int]] = {}
-            for j, g in enumerate(shingles(h, _Q).tolist()):
-                places.setdefault(g, []).append(j)
-            groups.setdefault(scales(len(ws), share), []).append((len(chosen), buckets(h)))
-            chosen.append((r.item_id, ws, places))
+            if len(ws) >= least:
+                groups.setdefault(scales(len(ws), share), []).append((len(chosen), buckets(hashes(ws))))
+                chosen.append((r.item_id, ws))
         if not chosen:
             continue
-        own = [w[a : a + 16].tolist() for g in groups.values() for _, w in g for a in range(0, len(w), 8)][:SAMPLE]
-        sample = kept.where("rank IS NOT NULL").orderBy("rank").limit(SAMPLE).select("words").unionAll(spark.createDataFrame([(x,) for x in own], "words array<int>"))
-        basis = fit(stage(sample.repartition(4)), idf)
         packed = {}
         for (width, step), members in groups.items():
-            rows = [basis.windows(w, width, max(1, width // 4)) for _, w in members]
-            start = np.cumsum([0] + [len(x) for x in rows[:-1]])
-            packed[width, step] = (np.ascontiguousarray(np.concatenate(rows).T), start, np.array([j for j, _ in members]))
+            made = [basis.windows(w, width, max(1, width // 4)) for _, w in members]
+            own = np.repeat([j for j, _ in members], [len(x) for x, _ in made])
+            packed[width, step] = Cells.of(np.concatenate([x for x, _ in made]), own, np.concatenate([at for _, at in made]), threshold).plain()
         one = docs.mapInArrow(_search(sc.broadcast(basis.vectors), sc.broadcast((chosen, packed)), threshold, share, one_in), "doc_id bigint, item_id bigint, share double")
         found = one if found is None else found.unionAll(one)
     return found if found is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from braidwork.llm.leak import leaks, longest_run, scales, subsequence
+from braidwork.llm.leak import Cells, leaks, longest_run, scales, subsequence
 
 rng = random.Random(3)
 VOCAB = [f"{a}{b}{c}" for a in "bcdfgk" for b in ("ato", "ine", "ora", "ulk") for c in ("", "s", "ra")]
@@ -73,3 +74,32 @@ def test_planted(spark):
     assert set(got) == want
     assert len(got) == len(want) + ((docs[0][0], [k for i, k in want if i == 0]) != (0, []))
     assert leaks(d.limit(0), p).count() == 0 and leaks(d, p.limit(0)).count() == 0
+
+
+def test_repeated_phrases_and_passes(spark):
+    items, docs, want = [], [], set()
+    for k in range(20):
+        phrase = text(15)
+        items.append((k, " ".join(phrase * 4)))
+        docs.append((k, " ".join(text(60) + phrase * 4 + text(40))))
+        want.add((k, k))
+    words_ = text(60)
+    items.append((50, " ".join(words_)))
+    docs += [(100, " ".join(words_[:20] + text(70) + words_ + text(5))), (101, " ".join((words_[:10] + text(3)) * 40 + words_))]  # beginnings of it before it
+    want |= {(100, 50), (101, 50)}
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    p = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(d, p).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leaks(d, p, words_of_pass=200).collect()} == want
+
+
+def test_cells_lose_nothing():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((400, 64)).astype(np.float32)
+    x = np.concatenate([x, x + 0.5 * r.standard_normal(x.shape).astype(np.float32)])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    q = x + 0.6 * r.standard_normal(x.shape).astype(np.float32) / 8
+    q /= np.sqrt((q * q).sum(1, keepdims=True))
+    cells = Cells.of(x, np.arange(len(x)), np.zeros(len(x), np.int64), 0.82)
+    got = {(a, b) for rows, own, _ in cells.near(q, 0.82) for a, b in zip(rows.tolist(), own.tolist(), strict=True)}
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.82)), strict=True)) and len(got) > 300
