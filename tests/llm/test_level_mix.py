@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from braidwork.llm.level import levels
+from braidwork.llm.level import BUCKETS, LEVELS, _newton, estimate, levels
 from braidwork.llm.mix import mixture, thresholds, token_counts
 from braidwork.sources.tables import table
 
@@ -75,3 +76,32 @@ def test_thresholds_against_sorting(spark):
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "s", "Hello world"), (2, "s", "")], "doc_id bigint, source string, text string")
     assert {r.doc_id: r.tokens for r in token_counts(df).collect()} == {1: 2, 2: 0}
+
+
+def test_likelihood_rises_and_difficulties_come_back(spark):
+    """Words drawn at rates that fall with the distance of level and difficulty: the likelihood rises with each round, and difficulties and
+    levels are found again."""
+    r = np.random.default_rng(6)
+    b = r.uniform(1, 5, 400)
+    rows, true = [], []
+    for i in range(1500):
+        k = int(r.integers(1, 6))
+        rate = np.exp(-((k - b) ** 2) / 2)
+        ws = np.unique(r.choice(400, 40, p=rate / rate.sum()))
+        rows.append((i, ws.astype(int).tolist(), [float(k == x) for x in LEVELS] if i < 60 else None))
+        true.append(k)
+    table = spark.createDataFrame(rows, "id bigint, words array<int>, rated array<double>")
+    model, trace = estimate(table)
+    assert len(trace) >= 2 and all(y >= x - 1e-6 * abs(x) for x, y in zip(trace, trace[1:], strict=False))
+    found = model.difficulty()[:400]
+    inner = (b > 1.5) & (b < 4.5) & np.isfinite(found)
+    assert inner.sum() > 200 and np.corrcoef(found[inner], b[inner])[0, 1] > 0.9
+    assert len(model.rates) == BUCKETS and (model.parameters[:, 2] <= 0).all()
+
+
+def test_newton_finds_the_maximum():
+    r = np.random.default_rng(1)
+    counts, exposure = r.poisson(6, (50, 5)) + 0.2, r.uniform(50, 90, 5)
+    p = _newton(counts, exposure, np.tile([np.log(0.1), 0, 0], (50, 1)), 3, 50)
+    x = np.stack([np.ones(5), LEVELS - 3.0, (LEVELS - 3.0) ** 2], 1)
+    assert np.abs((counts - np.exp(p @ x.T) * exposure) @ x).max() < 1e-3
