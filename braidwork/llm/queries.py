@@ -49,6 +49,25 @@ def p2_pieces(spark, d):
     return _pieces(spark, d)
 
 
+@query("p2_whole", f"SELECT item_kind, item_id, item_pos, md5(text) AS text_hash, true AS holds FROM ({_OVERSIZED})")
+def p2_whole(spark, d):
+    """Each split item put together from its pieces, and whether all of them keep to limit and overlap."""
+    limits = table(spark, d, "split_limits")
+    ps = _pieces(spark, d).join(F.broadcast(limits), "item_kind").groupBy("item_kind", "item_id", "item_pos", "max_chars", "overlap_chars")
+    ps = ps.agg(F.array_sort(F.collect_list(F.struct("piece", "start_char", "end_char", "piece_text"))).alias("ps"))  # the pieces of one text
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("t"), F.lit(True).alias("ok"))
+    joined = F.aggregate(
+        "ps",
+        start,
+        lambda a, x: F.struct(
+            x["end_char"].alias("at"),
+            F.concat(a["t"], F.substr(x["piece_text"], a["at"] - x["start_char"] + 1)).alias("t"),
+            (a["ok"] & (x["start_char"] == F.greatest(F.lit(0), a["at"] - F.col("overlap_chars"))) & (F.length(x["piece_text"]) <= F.col("max_chars"))).alias("ok"),
+        ),
+    )
+    return ps.withColumn("j", joined).select("item_kind", "item_id", "item_pos", F.md5(F.col("j.t").cast("binary")).alias("text_hash"), F.col("j.ok").alias("holds"))
+
+
 def _records(spark, d):
     return table(spark, d, "kg_triples").selectExpr("triple_id AS id", "head", "rel", "tail").unionAll(facts.line_facts(table(spark, d, "triple_lines")))
 
@@ -88,23 +107,46 @@ def p4_unmatched(spark, d):
     return canon.map_values(count, table(spark, d, "canon_entries")).where("entry_id = -1").join(count, ["kind", "value"]).select("kind", "value", "times")
 
 
-@query("p3_found")
+#: The words of a text in SQL, as words.words().
+_BLANK = "\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}"
+_SAID = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}{_BLANK}]', '', 'g'), '[{_BLANK}]+'), lambda w: w <> '')"
+#: Of the texts t (id, ws, ...) by brute force: b (id, n, w, c), the bags of their words.
+_BAGS = "b AS (SELECT id, n, w, count(*) AS c FROM (SELECT id, len(ws) AS n, unnest(ws) AS w FROM t) GROUP BY ALL)"
+_NEAR = "(greatest(x.n, y.n) - least(x.n, y.n)) * 6 <= greatest(x.n, y.n) GROUP BY x.id, y.id, x.n, y.n HAVING (greatest(x.n, y.n) - sum(least(x.c, y.c))) * 6 <= greatest(x.n, y.n)"
+_CROSS = f"""WITH t AS (SELECT doc_id AS id, split, source, split = 'train' AS train, {_SAID('text')} AS ws FROM documents WHERE split IN ('train', 'test', 'dev', 'valid', 'val') AND len({_SAID('text')}) >= 20),
+    {_BAGS}, pairs AS (SELECT x.id AS train_id, y.id AS other_id FROM b x JOIN b y USING (w) WHERE x.id IN (SELECT id FROM t WHERE train) AND y.id IN (SELECT id FROM t WHERE NOT train) AND {_NEAR})"""
+
+
+@query("p3_found", f"{_CROSS} SELECT least(train_id, other_id) AS doc_id_a, greatest(train_id, other_id) AS doc_id_b FROM pairs")
 def p3_found(spark, d):
     return crosssplit.overlaps(table(spark, d, "documents"))
 
 
-@query("p3_report")
+@query("p3_report", f"{_CROSS} SELECT split, source, count(DISTINCT other_id) AS evaluation_docs, count(*) AS pairs FROM pairs JOIN t ON id = other_id GROUP BY split, source")
 def p3_report(spark, d):
     docs = table(spark, d, "documents")
     return crosssplit.report(docs, crosssplit.overlaps(docs))
 
 
-@query("p5_found")
+_CLASSES = f"""WITH RECURSIVE r AS (SELECT row_id, document_id AS doc, {_SAID(f"CASE WHEN regexp_matches(text, '[^{_BLANK}]') THEN text ELSE array_to_string(sentences, ' ') END")} AS ws FROM re_documents WHERE document_id IS NOT NULL),
+    m AS (SELECT DISTINCT doc, ws, min(row_id) OVER (PARTITION BY ws) AS cls FROM r WHERE len(ws) >= 40), t AS (SELECT DISTINCT cls AS id, ws FROM m), {_BAGS},
+    near AS (SELECT x.id AS a, y.id AS b FROM b x JOIN b y USING (w) WHERE x.id < y.id AND {_NEAR}), links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near)"""
+
+
+@query(
+    "p5_found",
+    f"""{_CLASSES}, ends AS (SELECT x.doc AS x, y.doc AS y FROM near JOIN m x ON x.cls = a JOIN m y ON y.cls = b UNION ALL SELECT x.doc, y.doc FROM m x JOIN m y ON x.cls = y.cls WHERE x.doc < y.doc)
+    SELECT DISTINCT least(x, y) AS document_id_a, greatest(x, y) AS document_id_b FROM ends WHERE x <> y""",
+)
 def p5_found(spark, d):
     return nearsame.near_pairs(table(spark, d, "re_documents"))
 
 
-@query("p5_groups")
+@query(
+    "p5_groups",
+    f"""{_CLASSES}, reach AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT doc AS document_id, cls AS class_id, coalesce((SELECT min(other) FROM reach WHERE node = cls), cls) AS group_id, (SELECT count(*) FROM links WHERE a = cls) AS links FROM m""",
+)
 def p5_groups(spark, d):
     return nearsame.near_groups(table(spark, d, "re_documents"))
 
