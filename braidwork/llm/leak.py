@@ -5,9 +5,9 @@ over all documents) gives a latent space; its range finder runs as Spark jobs ov
 SAMPLE of the items', both by hash), and every window of every document is projected.  As word vectors add up, a document's windows are sums of
 sums of its steps.  Item windows lie in cells around about twice the square root of their number of centres; a document window is compared with
 the centres, and with the members of those cells only that may hold a window within the cosine threshold, an exact bound.  A document and an item
-of which two windows reach the threshold are a candidate at the place where the windows meet; there the longest common subsequence of their words
-must hold a run with the asked share of the item and few alterations, no shared shingle being asked for.  An answer, number or name that was
-changed counts as an alteration like any word.
+of which two windows reach the threshold are a candidate at the place where the windows meet.  Those that share too few neighbouring words for any
+run with the allowed alterations go (an exact bound); of the others the longest common subsequence of the words there must hold a run with the
+asked share of the item and few alterations.  An answer, number or name that was changed counts as an alteration like any word.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm import sketch
-from braidwork.llm.words import hashes, many, mix, words
+from braidwork.llm.words import hashes, many, many_shingles, mix, words
 from braidwork.session import stage
 
 #: Word buckets, latent dimensions (and spare ones of the range finder), passages of documents, and of items, that fit the basis at most, and
 #: words by which two windows that meet may be shifted.
 BUCKETS, DIMS, SPARE, SAMPLE, SLIDE = 1 << 15, 64, 8, 20_000, 16
+#: Item windows from which they are put into cells.
+CELLS = 8192
+#: Texts handled at once, of these whose vectors stay in the cache, and places of the flags of their neighbouring words.
+_TEXTS, _CACHED, _FLAGS = 400, 32, 1 << 22
 _KEPT = "block int, salt int, counts binary, rank bigint, words array<int>"
 
 
@@ -49,26 +53,25 @@ class Basis:
 
     vectors: np.ndarray
 
-    def windows(self, b: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vectors of the windows of a text and their first words, begun every `step` words, from sums of steps; the last window ends
-        with the text."""
-        n = len(b)
-        at = np.zeros(1, np.int64)
-        if n <= width:
-            x = self.vectors[b].sum(0, keepdims=True)
-        else:
-            each = max(k for k in (width, step) if not (width % k or step % k)) if not (width % step and step % width) else 1
-            sums = np.add.reduceat(self.vectors[b], np.arange(0, n, each), axis=0)
-            whole = n // each
-            start = np.arange(0, whole - width // each + 1, step // each)
-            x = sums[start]
-            for k in range(1, width // each):
-                x = x + sums[start + k]
-            at = start * each
-            if at[-1] + width < n:
-                x = np.concatenate([x, self.vectors[b[n - width :]].sum(0, keepdims=True)])
-                at = np.append(at, n - width)
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6), at
+    def windows(self, b: np.ndarray, size: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of the windows of texts (buckets b of all, words by text), the text and the first word of each: begun every `step`
+        words, from sums of steps; the last window ends with the text, and a shorter text is one window."""
+        each = max(k for k in (width, step) if not (width % k or step % k)) if not (width % step and step % width) else 1
+        begin = np.cumsum(size) - size
+        parts = -(-size // each)
+        text = np.repeat(np.arange(len(size)), parts)
+        within = np.arange(len(text)) - (np.cumsum(parts) - parts)[text]
+        sums = np.add.reduceat(self.vectors[b], begin[text] + within * each, axis=0)
+        first = np.flatnonzero((within * each % step == 0) & ((within * each + width <= size[text]) | (within == 0)))
+        x, of, at = sums[first].copy(), text[first], within[first] * each
+        for k in range(1, width // each):
+            more = np.flatnonzero(within[first] + k < parts[of])
+            x[more] += sums[first[more] + k]
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True))
+        short = last[(at[last] + width < size[of[last]])]
+        tail = self.vectors[b[(begin + size)[of[short]][:, None] - np.arange(width, 0, -1)[None, :]]].sum(1)
+        x, of, at = np.concatenate([x, tail]), np.concatenate([of, of[short]]), np.concatenate([at, size[of[short]] - width])
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-6), of, at
 
 
 def _measure(rate: float, step: int = 16):
@@ -240,7 +243,7 @@ class Cells:
     @classmethod
     def of(cls, x: np.ndarray, item: np.ndarray, start: np.ndarray, threshold: float, rounds: int = 4) -> Cells:
         n = len(x)
-        k = max(1, min(n, int(2 * np.sqrt(n))))
+        k = int(2 * np.sqrt(n)) if n >= CELLS else 1  # below, one product with all costs less than looking for the near ones
         centres = x[np.linspace(0, n - 1, k).astype(np.int64)].copy()
         for _ in range(rounds):
             own = np.concatenate([(x[c : c + 8192] @ centres.T).argmax(1) for c in range(0, n, 8192)])
@@ -261,38 +264,83 @@ class Cells:
 
     def near(self, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows of x, items, starts of their windows) of the windows that reach the threshold, cell by cell."""
-        open_ = x @ self.centres >= self.bound
-        for c in np.flatnonzero(open_.any(0)).tolist():
-            rows = np.flatnonzero(open_[:, c])
-            r, m = np.nonzero(x[rows] @ self.members[c] >= threshold)
-            if len(r):
-                yield rows[r], self.item[c][m], self.start[c][m]
+        if len(self.members) == 1:
+            members = [(0, np.arange(len(x)))]
+        else:
+            cell, row = np.nonzero(np.ascontiguousarray((x @ self.centres >= self.bound).T))
+            cut = np.searchsorted(cell, np.arange(len(self.members) + 1))
+            members = [(c, row[cut[c] : cut[c + 1]]) for c in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
+        for c, rows in members:
+            n = self.members[c].shape[1]
+            at = np.flatnonzero((x[rows] @ self.members[c] >= threshold).ravel())
+            if len(at):
+                yield rows[at // n], self.item[c][at % n], self.start[c][at % n]
+
+
+@dataclass
+class Neighbours:
+    """Hashes of the items' neighbouring words, item after item."""
+
+    pairs: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Neighbours:
+        h, size = many(texts)
+        g, text = many_shingles(h, size, 2)
+        count = np.bincount(text, minlength=len(size))
+        return cls(g, np.cumsum(count) - count, count)
+
+
+def _may_hold(h: np.ndarray, size: np.ndarray, doc: np.ndarray, item: np.ndarray, items: Neighbours, share: float, one_in: int) -> np.ndarray:
+    """Which pairs of text and item can hold a run: of r item words at most r / (one_in - 1) are altered, each of which parts two
+    neighbours, so at least r - 1 - 2 r / (one_in - 1) neighbouring words of the item are neighbours in the text."""
+    g, text = many_shingles(h, size, 2)
+    there = np.zeros(_FLAGS, bool)  # by hash: two pairs of neighbours in one place only let more texts pass
+    there[(mix(g ^ mix(text.astype(np.uint64))) & np.uint64(_FLAGS - 1)).astype(np.int64)] = True
+    out = np.zeros(len(doc), bool)
+    for c in range(0, len(doc), 1 << 14):  # bounded memory
+        d, own = doc[c : c + (1 << 14)], item[c : c + (1 << 14)]
+        n = items.size[own]
+        row = np.repeat(np.arange(len(n)), n)
+        asked = mix(items.pairs[np.arange(len(row)) + (items.begin[own] - (np.cumsum(n) - n))[row]] ^ mix(d.astype(np.uint64))[row])
+        met = np.bincount(row, weights=there[(asked & np.uint64(_FLAGS - 1)).astype(np.int64)], minlength=len(n))
+        run = np.ceil(share * (n + 1) - 1e-9)
+        out[c : c + (1 << 14)] = met >= run - 1 - 2 * run / (one_in - 1)
+    return out
 
 
 def _search(basis, shared, threshold: float, share: float, one_in: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, (items, packed) = Basis(basis.value), shared.value
         items, groups = [Item(*x) for x in items], {k: Cells(*v) for k, v in packed.items()}
+        neighbours = Neighbours.of([x.words for x in items])
         for whole in batches:
             out = []
-            for b in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+            for b in (whole.slice(k, _TEXTS) for k in range(0, whole.num_rows, _TEXTS)):
                 texts = [(i, ws) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True) if (ws := words(t))]
                 if not texts:
                     continue
                 h, size = many([ws for _, ws in texts])
-                begin = np.cumsum(size) - size
-                w = buckets(h)
-                hits: list[np.ndarray] = []
+                w, ends = buckets(h), np.cumsum([0, *size])
+                hits: list[tuple] = []
+                met = np.zeros(len(texts) * len(items), bool)
                 for (width, step), cells in groups.items():
-                    made = [space.windows(w[o : o + n], width, step) for o, n in zip(begin, size, strict=True)]
-                    x, of = np.concatenate([m[0] for m in made]), np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
-                    place = np.concatenate([m[1] for m in made])
-                    for c in range(0, len(x), 8192):  # bounded memory for very long texts
-                        for rows, own, start in cells.near(x[c : c + 8192], threshold):
-                            hits.append(np.stack([of[c + rows], own, place[c + rows] - start], 1))
-                if not hits:
+                    for t in range(0, len(texts), _CACHED):
+                        x, of, place = space.windows(w[ends[t] : ends[min(t + _CACHED, len(texts))]], size[t : t + _CACHED], width, step)
+                        of = (of + t) * len(items)
+                        for c in range(0, len(x), 2048):
+                            for rows, own, start in cells.near(x[c : c + 2048], threshold):
+                                pair = of[c + rows] + own
+                                met[pair] = True
+                                hits.append((pair, c + rows, place, start))
+                pairs = np.flatnonzero(met)
+                met[pairs] = _may_hold(h, size, pairs // len(items), pairs % len(items), neighbours, share, one_in)
+                kept = [np.stack([pair[k] // len(items), pair[k] % len(items), place[rows[k]] - start[k]]) for pair, rows, place, start in hits if len(k := np.flatnonzero(met[pair]))]
+                if not kept:
                     continue
-                found = np.unique(np.concatenate(hits), axis=0)
+                found = np.unique(np.concatenate(kept, 1).T, axis=0)
                 cut = [0, *(np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(1)) + 1).tolist(), len(found)]
                 for one in (found[a:b] for a, b in zip(cut, cut[1:])):  # noqa: B905
                     (i, ws), item = texts[one[0, 0]], items[one[0, 1]]
@@ -349,9 +397,8 @@ def leaks(documents: DataFrame, passages: DataFrame, threshold: float = 0.82, le
             continue
         packed = {}
         for (width, step), members in groups.items():
-            made = [basis.windows(w, width, max(1, width // 4)) for _, w in members]
-            own = np.repeat([j for j, _ in members], [len(x) for x, _ in made])
-            packed[width, step] = Cells.of(np.concatenate([x for x, _ in made]), own, np.concatenate([at for _, at in made]), threshold).plain()
+            x, of, at = basis.windows(np.concatenate([w for _, w in members]), np.array([len(w) for _, w in members]), width, max(1, width // 4))
+            packed[width, step] = Cells.of(x, np.array([j for j, _ in members])[of], at, threshold).plain()
         one = docs.mapInArrow(_search(sc.broadcast(basis.vectors), sc.broadcast((chosen, packed)), threshold, share, one_in), "doc_id bigint, item_id bigint, share double")
         found = one if found is None else found.unionAll(one)
     return found if found is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")

@@ -6,7 +6,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from braidwork.llm.leak import Cells, leaks, longest_run, scales, subsequence
+from braidwork.llm import leak
+from braidwork.llm.leak import Basis, Cells, leaks, longest_run, scales, subsequence
 
 rng = random.Random(3)
 VOCAB = [f"{a}{b}{c}" for a in "bcdfgk" for b in ("ato", "ine", "ora", "ulk") for c in ("", "s", "ra")]
@@ -93,7 +94,8 @@ def test_repeated_phrases_and_passes(spark):
     assert {(r.doc_id, r.item_id) for r in leaks(d, p, words_of_pass=200).collect()} == want
 
 
-def test_cells_lose_nothing():
+def test_cells_lose_nothing(monkeypatch):
+    monkeypatch.setattr(leak, "CELLS", 100)
     r = np.random.default_rng(4)
     x = r.standard_normal((400, 64)).astype(np.float32)
     x = np.concatenate([x, x + 0.5 * r.standard_normal(x.shape).astype(np.float32)])
@@ -102,4 +104,19 @@ def test_cells_lose_nothing():
     q /= np.sqrt((q * q).sum(1, keepdims=True))
     cells = Cells.of(x, np.arange(len(x)), np.zeros(len(x), np.int64), 0.82)
     got = {(a, b) for rows, own, _ in cells.near(q, 0.82) for a, b in zip(rows.tolist(), own.tolist(), strict=True)}
-    assert got == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.82)), strict=True)) and len(got) > 300
+    assert len(cells.members) > 10 and got == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.82)), strict=True)) and len(got) > 300
+
+
+def test_windows():
+    r = np.random.default_rng(2)
+    basis = Basis(r.standard_normal((50, 4)).astype(np.float32))
+    sizes = np.array([1, 3, 15, 16, 17, 24, 31, 40, 100])
+    b = r.integers(0, 50, sizes.sum())
+    for width, step in ((16, 8), (16, 4), (10, 5), (3, 3), (10, 2), (4, 1)):
+        x, of, at = basis.windows(b, sizes, width, step)
+        begin = np.cumsum(sizes) - sizes
+        want = {(t, p) for t, n in enumerate(sizes.tolist()) for p in [*range(0, max(1, n - width + 1), step), max(0, n - width)]}
+        assert set(zip(of.tolist(), at.tolist(), strict=True)) == want and len(of) == len(want)
+        for v, t, p in zip(x, of, at, strict=True):
+            own = basis.vectors[b[begin[t] + p : begin[t] + min(p + width, sizes[t])]].sum(0)
+            assert np.allclose(v, own / np.linalg.norm(own), atol=1e-4)
