@@ -1,21 +1,28 @@
 """Mapping freely typed values to the entries of a reference list.
 
-Distinct values are normalised (character form, case, accents, punctuation, lead-in, small words), their character n-grams retrieve
-candidates from the inverted index of the reference names, candidates are scored by the idf-weighted cosine, and all from a threshold on are held
-against an exact count of the slips that separate them.  A value is mapped if the slips stay within
-what the name's length allows, and no other entry comes within the margin; else it is reported as unmatched.
+Distinct values are normalised (character form, case, accents, punctuation, lead-in, small words); their character n-grams look candidates up
+in the inverted index of the reference names, rare n-grams first and only as many of them as a name of the least cosine must share one of, and
+candidates are scored by the idf-weighted cosine.  A value is mapped to the best entry if its cosine reaches the threshold `accept`, exceeds
+that of every other entry by the margin `clear`, and all of the value's words that the list knows are words of the entry.  What lies below, within the
+margin, or holds a word of other names is decided by an exact count of the slips that separate value and name: they must stay within what the name's
+length allows, and no other entry may come as near; else the value is reported as unmatched.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import stage
+
 # Words that never decide what a value names.
 SMALL = frozenset("a an the this that these those another some any its their our his her it of in on at by to as is was be been being there here today now yesterday then just also very please reported report alleged so called and or for with from".split())
 _LEAD = re.compile(r"\b(\w+):(?=\W*\w)")
@@ -165,58 +172,143 @@ def _grammer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([grams(n.split()) for n in b.column("norm").to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "grams"])
 
 
-def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, margin: float = 0.02, unknown: float = 2.0, small: int = 200_000) -> DataFrame:
-    """(kind, value, entry_id, cosine) for each distinct non-blank value of values (kind, value); entry_id -1: it names no entry.
+class Index:
+    """The inverted index of some names of one kind, as arrays: for each n-gram the names that have it and their share of unit length."""
+
+    def __init__(self, names: list[tuple[int, str]], grams_: list[str], idf: np.ndarray, begin: np.ndarray, name: np.ndarray, weight: np.ndarray):
+        self.names, self.idf, self.begin, self.name, self.weight = names, idf, begin, name, weight
+        self.at = {g: k for k, g in enumerate(grams_)}
+
+    @staticmethod
+    def plain(rows: pa.Table) -> tuple:
+        """The arguments of an index from postings (entry_id, name, gram, idf, weight)."""
+        names = sorted(set(zip(rows.column("entry_id").to_pylist(), rows.column("name").to_pylist(), strict=True)))
+        number = {n: k for k, n in enumerate(names)}
+        own = np.array([number[n] for n in zip(rows.column("entry_id").to_pylist(), rows.column("name").to_pylist(), strict=True)], np.int64)
+        code = rows.column("gram").combine_chunks().dictionary_encode()
+        if isinstance(code, pa.ChunkedArray):
+            code = code.combine_chunks()
+        gram = code.indices.to_numpy().astype(np.int64)
+        order = np.lexsort((own, gram))
+        begin = np.searchsorted(gram[order], np.arange(len(code.dictionary) + 1))
+        return names, code.dictionary.to_pylist(), rows.column("idf").to_numpy()[order][begin[:-1]], begin, own[order], rows.column("weight").to_numpy()[order]
+
+    def candidates(self, words: list[str], least: float, unknown: float) -> tuple[list[tuple[int, list[str], float]], set[str]]:
+        """(entry, words of the name, cosine) of all names from the cosine `least` on, and the value's words that the names have."""
+        given = grams(words)
+        ids = np.array(sorted(k for g in given if (k := self.at.get(g)) is not None), np.int64)
+        known = {g[1:] for g in given if g[0] == "=" and g in self.at}
+        if not len(ids):
+            return [], known
+        ids = ids[np.argsort(-self.idf[ids], kind="stable")]
+        w = self.idf[ids]
+        own = math.sqrt(float((w * w).sum()) + unknown * unknown * (len(given) - len(ids)))
+        rest = np.cumsum((w * w)[::-1])[::-1]  # what the n-grams from here on can add at most, squared
+        first = int((rest >= (least * own) ** 2 * (1 - 1e-9)).sum())  # a name that shares none of these is below `least`
+        dots = np.zeros(len(self.names))
+        for k in range(first):
+            a, b = self.begin[ids[k]], self.begin[ids[k] + 1]
+            dots[self.name[a:b]] += w[k] * self.weight[a:b]
+        found = np.flatnonzero(dots)
+        for k in range(first, len(ids)):
+            a, b = self.begin[ids[k]], self.begin[ids[k] + 1]
+            at = np.minimum(np.searchsorted(self.name[a:b], found), b - a - 1)
+            there = self.name[a:b][at] == found
+            dots[found[there]] += w[k] * self.weight[a:b][at[there]]
+        cosine = dots[found] / own
+        return [(self.names[k][0], self.names[k][1].split(), c) for k, c in zip(found[cosine >= least].tolist(), cosine[cosine >= least].tolist(), strict=True)], known
+
+
+def scored(candidates: list[tuple[int, list[str], float]], known: set[str], accept: float, clear: float) -> int | None:
+    """The entry that the cosines alone decide for: at least `accept`, by `clear` ahead of every other entry, with all known words."""
+    best: dict[int, float] = {}
+    for entry, _, cosine in candidates:
+        best[entry] = max(best.get(entry, 0.0), cosine)
+    order = sorted(((c, e) for e, c in best.items()), reverse=True)[:2]
+    if not order or order[0][0] < accept or len(order) > 1 and order[0][0] - order[1][0] < clear:
+        return None
+    own = {w for entry, name, _ in candidates if entry == order[0][1] for w in core(name)}
+    return order[0][1] if known <= own else None
 
-    entries is (entry_id, kind, label, aliases).  least: cosine from which a name is a candidate, all of which are compared in full; margin: by how much the cosine
-    of the chosen entry must exceed that of another with as few slips; unknown: weight of an n-gram that no name has.
-    The index of names is broadcast if it has at most `small` postings, else joined by gram.  Null and blank values have no row;
-    without entries every value gets -1; entries without label and aliases match nothing; ties between entries are unmatched.
-    """
-    names = entries.select("kind", "entry_id", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+
+def postings(entries: DataFrame) -> DataFrame:
+    """(kind, entry_id, name, gram, idf, weight): the n-grams of each distinct normalised name, their idf over the names of a kind, and their
+    share of the name's unit length."""
+    names = entries.select("kind", F.col("entry_id").cast("bigint").alias("entry_id"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
     names = names.where(F.col("name").rlike(r"(?U)\S")).distinct().mapInArrow(_normaliser, "kind string, entry_id bigint, name string, norm string")
-    names = names.select("kind", "entry_id", "norm").where("norm <> ''").distinct().mapInArrow(_grammer, "kind string, entry_id bigint, norm string, grams array<string>")
-    post = names.select("kind", "entry_id", F.col("norm").alias("name"), F.explode("grams").alias("gram"))
+    names = stage(names.select("kind", "entry_id", "norm").where("norm <> ''").distinct().mapInArrow(_grammer, "kind string, entry_id bigint, norm string, grams array<string>"))
     total = names.groupBy("kind").agg(F.countDistinct("norm").alias("names"))
-    df = post.groupBy("kind", "gram").agg(F.countDistinct("name").alias("df"))
-    idf = df.join(total, "kind").select("kind", "gram", F.log1p(F.col("names") / F.col("df")).alias("idf"), "names")
-    post = post.join(idf, ["kind", "gram"])
+    post = names.select("kind", "entry_id", F.col("norm").alias("name"), F.explode("grams").alias("gram"))
+    idf = post.groupBy("kind", "gram").agg(F.countDistinct("name").alias("df")).join(F.broadcast(total), "kind").select("kind", "gram", F.log1p(F.col("names") / F.col("df")).alias("idf"))
+    post = stage(post.join(idf, ["kind", "gram"]))
     length = post.groupBy("kind", "entry_id", "name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("length"))
-    post = post.join(length, ["kind", "entry_id", "name"])
-    index = post.groupBy("kind", "gram").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("entry_id", "name", (F.col("idf") / F.col("length")).alias("w"))).alias("posts"))
-
-    distinct = values.select("kind", "value").where(F.col("value").rlike(r"(?U)\S")).distinct().mapInArrow(_normaliser, "kind string, value string, norm string")
-    # partitioned once by form: scoring, ranking and choice below need no further exchange, and few bytes of forms still spread over all tasks
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    forms = distinct.select("kind", "norm").distinct().mapInArrow(_grammer, "kind string, norm string, grams array<string>").repartition(n, "kind", "norm")
-    if post.count() <= small:
-        index = F.broadcast(index)
-    # entry null marks the value's own length
-    found = forms.select("kind", "norm", F.explode_outer("grams").alias("gram")).join(index, ["kind", "gram"], "left")
-    own = F.struct(F.lit(None).cast("bigint").alias("entry_id"), F.lit(None).cast("string").alias("name"), F.coalesce("idf", F.lit(unknown)).alias("w"))
-    dots = (
-        found.select("kind", "norm", F.coalesce("idf", F.lit(unknown)).alias("idf"), F.explode(F.concat(F.array(own), F.coalesce("posts", F.array().cast("array<struct<entry_id:bigint,name:string,w:double>>")))).alias("p"))
-        .groupBy("kind", "norm", F.col("p.entry_id").alias("entry_id"), F.col("p.name").alias("name"))
-        .agg(F.sum(F.col("idf") * F.col("p.w")).alias("dot"))
-    )
-    mine = Window.partitionBy("kind", "norm")
-    scored = dots.withColumn("cosine", F.col("dot") / F.sqrt(F.max(F.when(F.col("entry_id").isNull(), F.col("dot"))).over(mine)))
-    best = scored.where(F.col("entry_id").isNull() | (F.col("cosine") >= least)).groupBy("kind", "norm").agg(F.collect_list(F.when(F.col("entry_id").isNotNull(), F.struct("entry_id", "name", "cosine"))).alias("best"))
-
-    # words that the reference list has, joined in the same partitions
-    words = found.where(F.col("gram").startswith("=") & F.col("idf").isNotNull()).groupBy("kind", "norm").agg(F.collect_set(F.substring("gram", 2, 1_000_000)).alias("known"))
-    best = best.join(words, ["kind", "norm"], "left").select("kind", "norm", "best", "known")
+    return post.join(length, ["kind", "entry_id", "name"]).select("kind", "entry_id", "name", "gram", "idf", (F.col("idf") / F.col("length")).alias("weight"))
+
+
+_FOUND = "kind string, value string, norm string, found array<struct<entry_id:bigint,name:string,cosine:double>>, known array<string>"
+
+
+def map_values(values: DataFrame, entries: DataFrame, least: float = 0.2, accept: float = 0.7, clear: float = 0.1, margin: float = 0.02, unknown: float = 2.0, held: int = 4_000_000) -> DataFrame:
+    """(kind, value, entry_id, cosine) for each distinct non-blank value of values (kind, value); entry_id -1: it names no entry.
+
+    entries is (entry_id, kind, label, aliases).  least: cosine from which a name is a candidate; accept, clear: cosine and margin from which the
+    cosines decide; margin: by how much the cosine of the entry of fewest slips must exceed that of another with as few; unknown: weight of an
+    n-gram that no name has.  Tasks hold the index of names in blocks of about `held` postings (12 bytes and a share of their n-gram each), so
+    what is broadcast at once is bounded; with more than one block candidates come together by value, without a cap.  Null and blank values have
+    no row; without entries every value gets -1; entries without label and aliases match nothing; ties between entries are unmatched.
+    """
+    spark = values.sparkSession
+    sc = spark.sparkContext
+    index = stage(postings(entries))
+    blocks = max(1, -(-index.count() // held))
+    distinct = stage(values.select("kind", "value").where(F.col("value").rlike(r"(?U)\S")).distinct())
+    # few bytes of values are work for all tasks
+    given = distinct.repartition(max(sc.defaultParallelism, distinct.count() // 50_000), "kind", "value")
+
+    def decided(words: list[str], found: list[tuple[int, list[str], float]], known: set[str]) -> tuple[int, float]:
+        entry = scored(found, known, accept, clear) if words else None
+        if entry is None and words:
+            entry = decide(words, found, margin, frozenset(known))
+        return -1 if entry is None else entry, max((c for *_, c in found), default=0.0)
+
+    def block(rows: DataFrame):
+        plain = rows.toArrow()
+        return sc.broadcast({k: Index.plain(plain.filter(pa.compute.equal(plain.column("kind"), k))) for k in pa.compute.unique(plain.column("kind").drop_null()).to_pylist()})
+
+    def searcher(shared, alone: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = {k: Index(*v) for k, v in shared.value.items()}
+            memo: dict[tuple[str | None, str], tuple] = {}
+            for b in batches:
+                out = []
+                for kind, value in zip(*(b.column(c).to_pylist() for c in ("kind", "value")), strict=True):
+                    words = normalise(value)
+                    key = kind, " ".join(words)
+                    if key not in memo:
+                        if len(memo) > 100_000:
+                            memo.clear()
+                        found, known = indexes[kind].candidates(words, least, unknown) if kind in indexes and words else ([], set())
+                        memo[key] = decided(words, found, known) if alone else (key[1], [{"entry_id": e, "name": " ".join(n), "cosine": c} for e, n, c in found], sorted(known))
+                    out.append((kind, value, *memo[key]))
+                cols = list(zip(*out, strict=True)) or [()] * (4 if alone else 5)
+                types = (pa.string(), pa.string(), pa.int64(), pa.float64()) if alone else (pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("entry_id", pa.int64()), ("name", pa.string()), ("cosine", pa.float64())])), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "value", "entry_id", "cosine"] if alone else ["kind", "value", "norm", "found", "known"])
+
+        return search
+
+    out_schema = "kind string, value string, entry_id bigint, cosine double"
+    if blocks == 1:
+        return given.mapInArrow(searcher(block(index), True), out_schema)
+    of = F.pmod(F.xxhash64("name"), F.lit(blocks))
+    parts = [given.mapInArrow(searcher(block(index.where(of == k)), False), _FOUND) for k in range(blocks)]
+    both = functools.reduce(DataFrame.unionAll, parts).groupBy("kind", "value", "norm").agg(F.flatten(F.collect_list("found")).alias("found"), F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for norm, best, known in zip(*(b.column(c).to_pylist() for c in ("norm", "best", "known")), strict=True):
-                entry = decide(norm.split(), [(c["entry_id"], c["name"].split(), c["cosine"]) for c in best], margin, frozenset(known or ())) if norm else None
-                got.append((-1 if entry is None else entry, max((c["cosine"] for c in best), default=0.0)))
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("norm"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["kind", "norm", "entry_id", "cosine"])
-
-    chosen = best.mapInArrow(choose, "kind string, norm string, entry_id bigint, cosine double")
-    return distinct.join(chosen, ["kind", "norm"]).select("kind", "value", "entry_id", "cosine")
+            got = [decided(n.split(), [(c["entry_id"], c["name"].split(), c["cosine"]) for c in found], set(known)) for n, found, known in zip(*(b.column(c).to_pylist() for c in ("norm", "found", "known")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("value"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["kind", "value", "entry_id", "cosine"])
+
+    return both.mapInArrow(choose, out_schema)
 
 
 #: The columns of predictions and the kind of entry that each names.

@@ -27,8 +27,8 @@ def test_index_loses_nothing(spark):
     d = "/root/testdata/sf0.001"
     entries = table(spark, d, "canon_entries")
     names = [(r.entry_id, r.kind, normalise(n)) for r in entries.collect() for n in [r.label, *(r.aliases or [])]]
-    for small in (200_000, 0):
-        got = map_values(prediction_values(table(spark, d, "esl_predictions")), entries, small=small).collect()
+    for held in (4_000_000, 2500):
+        got = map_values(prediction_values(table(spark, d, "esl_predictions")), entries, held=held).collect()
         for r in got:
             all_names = [(e, n, 1.0) for e, k, n in names if k == r.kind]
             assert (decide(normalise(r.value), all_names, 0.0) or -1) == r.entry_id, r
