@@ -73,17 +73,26 @@ def slips(a: str, b: str, most: int) -> int:
     while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
+    if not a:
+        return len(b)
+    # distances down the columns of the table as bits of their differences, one column for each letter of b
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    last = 1 << len(a) >> 1
+    up, down, level, before, d = full, 0, 0, 0, len(a)
+    for j, y in enumerate(b, 1):
+        here = at.get(y, 0)
+        swapped = ((~level & here) << 1) & before
+        level = (((here & up) + up) ^ up) | here | down | swapped
+        more, less = down | ~(level | up) & full, level & up
+        d += (more & last > 0) - (less & last > 0)
+        if d - (len(b) - j) > most:
             return most + 1
-    return min(row[-1], most + 1)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down, before = less | ~(level | more) & full, more & level, here
+    return min(d, most + 1)
 
 
 def allowed(name: str) -> int:
@@ -205,10 +214,9 @@ class Index:
         own = math.sqrt(float((w * w).sum()) + unknown * unknown * (len(given) - len(ids)))
         rest = np.cumsum((w * w)[::-1])[::-1]  # what the n-grams from here on can add at most, squared
         first = int((rest >= (least * own) ** 2 * (1 - 1e-9)).sum())  # a name that shares none of these is below `least`
-        dots = np.zeros(len(self.names))
-        for k in range(first):
-            a, b = self.begin[ids[k]], self.begin[ids[k] + 1]
-            dots[self.name[a:b]] += w[k] * self.weight[a:b]
+        begin, size = self.begin[ids[:first]], self.begin[ids[:first] + 1] - self.begin[ids[:first]]
+        at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        dots = np.bincount(self.name[at], weights=self.weight[at] * np.repeat(w[:first], size), minlength=len(self.names)).astype(np.float64)
         found = np.flatnonzero(dots)
         for k in range(first, len(ids)):
             a, b = self.begin[ids[k]], self.begin[ids[k] + 1]

@@ -1,5 +1,8 @@
 """Canonical mapping: forms of a name, values that name something else, brute force over all names, edge cases."""
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from braidwork.llm.canon import canonical, decide, map_values, normalise, prediction_values, slips
 from braidwork.sources.tables import table
 
@@ -38,6 +41,18 @@ def test_slips():
     assert [slips("reuslt", "result", 3), slips("abc", "abc", 0), slips("abcd", "xyzw", 2), slips("", "ab", 3)] == [1, 0, 3, 2]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9), st.integers(0, 9))
+def test_slips_against_the_table(a, b, most):
+    t = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+    assert slips(a, b, most) == min(t[-1][-1], most + 1)
+
+
 def test_known_words_are_no_slips():
     names = [(1, ["retail", "chain", "strike"], 0.9), (1, ["retail", "chain", "walkout"], 0.9), (2, ["power", "grid", "blackout"], 0.5)]
     assert decide(["retail", "chain", "blackout"], names, 0.02) is None
