@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Answers of claim checks, stop words of relation labels and of soft matches.
+#: Answers of claim checks.
 CLAIMS = ("SUPPORTS", "REFUTES", "NOT_ENOUGH_INFO")
 NO_ANSWER = "NOT_ENOUGH_INFO"
-LABEL_STOP = ("of", "the", "and", "or", "to", "in", "on", "by", "for", "with", "a", "an")
+#: Words of relation labels, and of spans that are matched softly, that don't count.
+LABEL_STOP = tuple("of the a an in on to for and or".split())
+SOFT_STOP = tuple("the a an of to in on at for from with and or but by is are was were be been being this that it she he they them her his their its as into over under out up down".split())
 MARKER = "\n... (truncated)"
 
 
@@ -41,7 +43,7 @@ def soft_norm(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
-def soft_tokens(x: Column | str, stop: tuple[str, ...] = LABEL_STOP) -> Column:
+def soft_tokens(x: Column | str, stop: tuple[str, ...] = SOFT_STOP) -> Column:
     return F.filter(F.split(soft_norm(x), " "), lambda w: (w != "") & ~w.isin(*stop))
 
 
@@ -88,8 +90,9 @@ def canonical_relation(x: Column | str) -> Column:
 
 
 def label_tokens(x: Column | str) -> Column:
-    """SCA8: words of a relation label without stop words, repeated ones kept."""
-    return F.filter(F.regexp_extract_all(F.lower(_c(x)), F.lit(r"([a-z0-9]+)"), 1), lambda w: ~w.isin(*LABEL_STOP))
+    """SCA8: words of what follows the first colon of a relation label, or of all of it, without stop words, repeated ones kept."""
+    name = F.substr(_c(x), F.instr(_c(x), F.lit(":")) + 1)
+    return F.filter(F.regexp_extract_all(F.lower(name), F.lit(r"([a-z0-9]+)"), 1), lambda w: ~w.isin(*LABEL_STOP))
 
 
 def span_ids(x: Column | str) -> Column:

@@ -27,21 +27,22 @@ def label(x: Column | str) -> Column:
     return F.substring(F.coalesce(end, F.nullif(F.array_join(F.slice(w, 1, 6), " "), F.lit("")), F.lit("ontology_chunk")), 1, 60)
 
 
-def hierarchy(texts: DataFrame, key: str, text: str, sizes: tuple[int, int] = (512, 128), overlap: int = 128, most_chars: int = 20_000) -> DataFrame:
+def hierarchy(texts: DataFrame, key: str, text: str, sizes: tuple[int, int] = (512, 128), overlap: int = 128, most_chars: int | None = None) -> DataFrame:
     """IDX1: (key, chunk, level, is_leaf, parent, subject_label, text) per text: windows of sizes[0] words, each followed by the windows
-    of sizes[1] words of its (cut) text; chunks are counted from 0 within a text, in that order."""
-    parents = texts.select(key, F.posexplode(windows(words(text), sizes[0], overlap)).alias("p", "w")).select(key, "p", F.substring(F.array_join("w", " "), 1, most_chars).alias("text"))
-    leaves = parents.select(key, "p", F.posexplode(windows(words("text"), sizes[1], overlap)).alias("i", "w")).select(key, "p", F.col("i").alias("i"), F.substring(F.array_join("w", " "), 1, most_chars).alias("text"))
-    both = parents.select(key, "p", F.lit(-1).alias("i"), "text").unionByName(leaves)
-    numbered = top(both, [key], [F.col("p"), F.col("i")], None, "n")
-    first = F.first("n").over(_of(key))
-    return numbered.withColumn("first", first).select(key, (F.col("n") - 1).alias("chunk"), F.when(F.col("i") < 0, 0).otherwise(1).alias("level"), F.when(F.col("i") < 0, 0).otherwise(1).alias("is_leaf"), F.when(F.col("i") >= 0, F.col("first") - 1).alias("parent"), label("text").alias("subject_label"), "text")
-
-
-def _of(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key, "p").orderBy("i")
+    of sizes[1] words of its text; chunks are counted from 0 within a text, in that order.  most_chars cuts the text of each window, as
+    an index with such a limit does.  Numbers are counted within a row: nothing is shuffled."""
+    cut = (lambda t: t) if most_chars is None else lambda t: F.substring(t, 1, most_chars)
+    joined = lambda w: cut(F.array_join(w, " "))
+    parents = F.transform(windows(words(text), sizes[0], overlap), joined)
+    both = F.transform(parents, lambda p: F.struct(p.alias("text"), F.transform(windows(words(p), sizes[1], overlap), joined).alias("leaves")))
+    # the number of a window is that of its predecessors and all their leaves
+    starts = F.aggregate(F.transform(both, lambda p: F.size(p["leaves"])), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + 1 + n)))
+    numbered = F.transform(both, lambda p, i: F.struct(F.get(starts, i).alias("n"), p["text"].alias("text"), p["leaves"].alias("leaves")))
+    leaf = lambda t, i: F.struct((F.col("p.n") + 1 + i).alias("chunk"), F.col("p.n").alias("parent"), t.alias("text"))
+    own = F.struct(F.col("p.n").alias("chunk"), F.lit(None).cast("int").alias("parent"), F.col("p.text").alias("text"))
+    rows = texts.select(key, F.explode(numbered).alias("p")).select(key, F.explode(F.concat(F.array(own), F.transform("p.leaves", leaf))).alias("r"))
+    level = F.col("r.parent").isNotNull().cast("int")
+    return rows.select(key, "r.chunk", level.alias("level"), level.alias("is_leaf"), "r.parent", label("r.text").alias("subject_label"), "r.text")
 
 
 def whole(documents: DataFrame) -> DataFrame:

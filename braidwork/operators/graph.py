@@ -5,7 +5,9 @@ nodes (id, attributes map) and edges (edge_id, head, rel, tail, ...), edge_id gi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as txt
@@ -181,28 +183,41 @@ def sentence_communities(edges: DataFrame, label: DataFrame) -> DataFrame:
     return placed.where("community IS NOT NULL AND sentence_id IS NOT NULL").groupBy("community", "sentence_id").agg(F.min("edge_id").alias("pos"))
 
 
-def two_stage(queries: DataFrame, sentences: DataFrame, vectors: DataFrame, top_communities: int = 3, top_sentences: int = 10, delta_percent: float | None = None, lambda_percent: float | None = None, most: int = 5000) -> DataFrame:
+def _mean_vectors(vectors: DataFrame, group: str, dims: int) -> DataFrame:
+    """(group, mean): the mean of the vectors of each group, added up before the shuffle, a column for each dimension."""
+    sums = vectors.groupBy(group).agg(*(F.avg(F.get("vector", F.lit(j)).cast("double")).alias(f"d{j}") for j in range(dims)))
+    return sums.select(group, F.array(*(f"d{j}" for j in range(dims))).alias("vector"))
+
+
+def two_stage(queries: DataFrame, sentences: DataFrame, vectors: DataFrame, top_communities: int = 3, top_sentences: int = 10, delta_percent: float | None = None, lambda_percent: float | None = None, most: int | None = None) -> DataFrame:
     """RET20, WIN7: for each query (query_id, vector) the best sentences of its best communities: (query_id, sentence_id, community,
     score, rank).  sentences is (community, sentence_id, pos), vectors (sentence_id, vector); communities are compared by the mean of
-    their sentences' vectors, those that share no dimension with a query being left out; delta_percent and lambda_percent are shares of the communities and of the scored candidates kept.
+    their sentences' vectors, those without any likeness to a query being left out; delta_percent and lambda_percent are shares of the communities
+    and of the scored candidates kept; most cuts the candidates of a query, in the order of their communities, before they are scored.
+
+    Queries are held by the tasks, in passes if they are many; means and sentences are compared with them by one product a batch."""
+    from braidwork.operators import retrieve
 
-    Queries are few and held by the tasks through a broadcast join of their vectors' non-zero dimensions."""
-    entries = vectors.select("sentence_id", F.posexplode("vector").alias("dim", "x")).where("x <> 0")
-    asked = queries.select("query_id", F.posexplode("vector").alias("dim", "q")).where("q <> 0")
+    first = vectors.select(F.size("vector").alias("n")).first()
+    dims = first.n if first else 1
     once = top(sentences, ["sentence_id"], [F.col("pos"), F.col("community")], 1).select("community", "sentence_id", "pos")
-    size = once.groupBy("community").agg(F.count("*").alias("n"))
-    mean = once.join(entries, "sentence_id").groupBy("community", "dim").agg(F.sum("x").alias("x")).join(size, "community").withColumn("x", F.col("x") / F.col("n"))
-    norm = mean.groupBy("community").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    near = mean.join(asked, "dim").groupBy("query_id", "community").agg(F.sum(F.col("x") * F.col("q")).alias("dot")).join(norm, "community").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
-    keep: Column | int = top_communities
+    held_vectors = stage(once.join(vectors.select("sentence_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "sentence_id"))
+    means = stage(_mean_vectors(held_vectors, "community", dims))
+    keep = top_communities
     if delta_percent is not None:
-        near = near.join(size.agg(F.count("*").alias("all")))
-        keep = F.greatest(F.lit(1), F.ceil(F.lit(delta_percent / 100.0) * F.col("all")))
-    chosen = top(near, ["query_id"], [F.desc("score"), F.col("community")], None, "cr").where(F.col("cr") <= keep).select("query_id", "community", "cr")
-    held = top(chosen.join(once, "community"), ["query_id"], [F.col("cr"), F.col("pos"), F.col("sentence_id")], most, "at").select("query_id", "community", "sentence_id", "at")
-    scored = held.join(entries, "sentence_id").join(asked, ["query_id", "dim"]).groupBy("query_id", "community", "sentence_id", "at").agg(F.round(F.sum(F.col("x") * F.col("q")), 9).alias("score"))
-    scored = held.join(scored.select("query_id", "sentence_id", "score"), ["query_id", "sentence_id"], "left").fillna(0.0, ["score"])
-    ranked = top(scored, ["query_id"], [F.desc("score"), F.col("at")], None)
+        keep = max(1, math.ceil(delta_percent / 100.0 * once.select("community").distinct().count() - 1e-9))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    unit = means.withColumn("n", norm).where("n > 0").select("community", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
+    asked = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    near = retrieve.nearest(asked, unit, "query_id", "community", "vector", keep, "dot", None).where("score <> 0")
+    chosen = near.select("query_id", "community", F.col("rank").alias("cr"))
+    held = chosen.join(held_vectors, "community")
+    if most is not None:
+        held = top(held, ["query_id"], [F.col("cr"), F.col("pos"), F.col("sentence_id")], most, "at")
+    dot = F.aggregate(F.zip_with("vector", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    both = held.join(asked.withColumnRenamed("vector", "qv"), "query_id")
+    scored = both.select("query_id", "community", "sentence_id", "cr", "pos", F.round(dot, 9).alias("score"))
+    ranked = top(scored, ["query_id"], [F.desc("score"), F.col("cr"), F.col("pos"), F.col("sentence_id")], None)
     if lambda_percent is not None:
         n = F.count("*").over(Window.partitionBy("query_id"))
         ranked = ranked.withColumn("n", n).where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.lit(lambda_percent / 100.0) * F.col("n"))))

@@ -78,30 +78,64 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
 
 
-def search(queries: DataFrame, concepts: DataFrame, k: int = 5, most: int = 100_000) -> DataFrame:
+def search(queries: DataFrame, concepts: DataFrame, k: int = 5, held: int = 20_000) -> DataFrame:
     """RET10, AGG13, WIN4: (query_id, uri, label, score, rank): concepts (uri, label, description, aliases) by the best weighted ratio
-    of a label or alias, or .6 of the partial ratio of the description; ties by label, then uri.  Concepts are held by the tasks;
-    more than `most` are refused, as every query is compared with every concept."""
-    rows = concepts.select("uri", "label", "description", "aliases").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many concepts to compare with every query")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of a label or alias, or .6 of the partial ratio of the description; ties by label, then uri.  Tasks hold `held` concepts at a time; with more,
+    the k best of each pass are ranked together.  A concept is scored only if its letters could make it one of the k best."""
+    spark = queries.sparkSession
+    passes = max(1, -(-concepts.count() // held))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    n = max(spark.sparkContext.defaultParallelism, 1)  # few rows, each of them work for every concept
+    asked = queries.select("query_id", "query").repartition(n)
+    out = None
+    for p in range(passes):
+        part = concepts.select("uri", "label", "description", "aliases")
+        rows = (part.where(F.pmod(F.xxhash64("uri"), F.lit(passes)) == p) if passes > 1 else part).collect()  # about `held`
+        shared = spark.sparkContext.broadcast([(r.uri, r.label, [x for x in [r.label, *(r.aliases or [])] if x], r.description) for r in rows])
+        one = asked.mapInPandas(_searcher(shared, k), f"query_id {kind}, uri string, label string, score double, rank int")
+        out = one if out is None else out.unionAll(one)
+    return out if passes == 1 else top(out.drop("rank"), ["query_id"], [F.desc("score"), F.coalesce("label", F.lit("")), F.col("uri")], k)
+
+
+def _bag(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for c in text:
+        out[c] = out.get(c, 0) + 1
+    return out
+
+
+def _most(query: str, bag: dict[str, int], words: set[str], name: str, own: dict[str, int], own_words: set[str]) -> float:
+    """A bound on weighted_ratio(): strings that share a word may reach 100; others share at most the c letters that both have, the shorter of
+    what is compared has at least the n letters of its distinct words, and the part it is compared with at least those it shares."""
+    if words & own_words:
+        return 100.0
+    shared = sum(min(v, own.get(c, 0)) for c, v in bag.items()) + min(query.count(" "), name.count(" "))
+    least = min(sum(map(len, words)), sum(map(len, own_words)))
+    return 200.0 * min(shared, least) / (least + min(shared, least)) if least else 100.0
+
+
+def _searcher(shared, k: int):
+    def search_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(uri, label, [(n, _bag(n), set(n.split())) for n in names], text) for uri, label, names, text in shared.value]
         for b in batches:
             out = []
             for q, text in zip(b["query_id"], b["query"], strict=True):
-                if text and text.strip():
-                    got = []
-                    for r in rows:
-                        name = max((weighted_ratio(text, n) for n in [r.label, *(r.aliases or [])] if n), default=0.0)
-                        got.append((round(max(name, 0.6 * partial_ratio(text, r.description) if r.description else 0.0) / 100, 9), r.uri, r.label))
-                    got.sort(key=lambda g: (-g[0], g[2] or "", g[1]))
-                    out += [(q, u, label, s, i + 1) for i, (s, u, label) in enumerate(got[:k])]
+                if not text or not text.strip():
+                    continue
+                bag, words = _bag(text), set(text.split())
+                bound = [max(max((_most(text, bag, words, *n) for n in names), default=0.0), 60.0 if described else 0.0) for _, _, names, described in rows]
+                got: list[tuple] = []
+                for j in sorted(range(len(rows)), key=lambda j: -bound[j]):
+                    if len(got) >= k and round(bound[j] / 100, 9) < -got[k - 1][0]:
+                        break
+                    uri, label, names, described = rows[j]
+                    name = max((weighted_ratio(text, n) for n, *_ in names), default=0.0)
+                    got.append((-round(max(name, 0.6 * partial_ratio(text, described) if described else 0.0) / 100, 9), label or "", uri, label))
+                    got.sort(key=lambda g: g[:3])
+                out += [(q, uri, label, -s, i + 1) for i, (s, _, uri, label) in enumerate(got[:k])]
             yield pd.DataFrame(out, columns=["query_id", "uri", "label", "score", "rank"])
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, each of them work for every concept
-    return queries.select("query_id", "query").repartition(n).mapInPandas(score, f"query_id {kind}, uri string, label string, score double, rank int")
+    return search_
 
 
 def evidence(found: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -123,14 +157,13 @@ def concept_text() -> Column:
     return F.concat_ws(" ", "label", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "), "description")
 
 
-def link(entities: DataFrame, concepts: DataFrame, k: int = 3, least: float = 0.3, dim: int = 256, digits: int = 9, most: int = 200_000) -> DataFrame:
+def link(entities: DataFrame, concepts: DataFrame, k: int = 3, least: float = 0.3, dim: int = 256, digits: int = 9, held: int = 200_000) -> DataFrame:
     """IDX13, JN5, WIN5: (document_id, entity_id, rank, concept_uri, label, score): the k concepts of best cosine for each entity's text, at
-    least `least`, ties in the order of uri.  Concepts are held by the tasks (refused above `most`); entities are any number and
-    never shuffled."""
+    least `least`, ties in the order of uri.  Concepts are held by the tasks, `held` at a time; entities are any number and never shuffled."""
     named = concepts.select(F.col("uri").alias("concept_uri"), "label", concept_text().alias("concept"))
-    best = retrieve.nearest_held(entities, named, ["document_id", "entity_id"], "text", "concept_uri", "concept", k, least, dim, digits, most)
+    best = retrieve.nearest_held(entities, named, ["document_id", "entity_id"], "text", "concept_uri", "concept", k, least, dim, digits, held)
     labels = named.select("concept_uri", "label")
-    return best.join(F.broadcast(labels), "concept_uri").select("document_id", "entity_id", "rank", "concept_uri", "label", "score")
+    return best.join(labels, "concept_uri").select("document_id", "entity_id", "rank", "concept_uri", "label", "score")
 
 
 def links_v1(linked: DataFrame, method: str = "embedding", ontology_key: str = "ontology", params: dict[str, str] | None = None, kind: str = "class") -> DataFrame:

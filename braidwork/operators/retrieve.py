@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from braidwork.functions import text as txt
 from braidwork.functions.embed import Hasher
 from braidwork.operators.filters import top
 
+#: Words of queries up to this number are broadcast to the edges.
+HELD = 500_000
 #: Queries that tasks hold at once; more are answered in several passes over the index.
 QUERIES = 5000
 SCORES = {"dot": lambda m, q: m @ q.T, "cosine": lambda m, q: _unit(m) @ _unit(q).T, "l2_inverse": lambda m, q: 1.0 / (1.0 + _distance(m, q))}
@@ -41,8 +43,8 @@ def nearest(queries: DataFrame, index: DataFrame, query_id: str, item_id: str, v
     """RET3-6, WIN1: (query_id, item_id, score, rank) of the k items of best score for each query, ties by item.
 
     value is a text column on both sides, hashed to dim buckets, or with dim None a column of vectors.  Queries are broadcast, QUERIES
-    at a time; each batch of items is one matrix product of which only its k best per query leave the task, so the shuffle
-    carries k rows per query and batch.  score: dot, cosine or l2_inverse; scores are rounded before they are compared; least drops
+    at a time; each batch of items is one matrix product, and only the k best per query of all its batches leave a task, so the shuffle
+    carries k rows per query and task.  score: dot, cosine or l2_inverse; scores are rounded before they are compared; least drops
     lower scores first (FLT10).  Null values have no row as queries and never are items (of vectors; a null text has a zero vector).
     """
     spark = index.sparkSession
@@ -71,55 +73,73 @@ def _best(held, item_id, value, k, score, dim, digits, least, names):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(dim) if dim is not None else None
         ids, given = held.value
+        kept: list[pa.Table] = []  # (query, score, item): the k best of each query so far, and more of late
+
+        def trimmed() -> pa.Table:
+            both = pa.concat_tables(kept)
+            both = both.take(pa.compute.sort_indices(both, sort_keys=[("q", "ascending"), ("s", "descending"), ("i", "ascending")]))
+            q = both.column("q").to_numpy()
+            first = np.searchsorted(q, q)
+            return both.filter(pa.array(np.arange(len(q)) - first < k))
+
         for b in batches:
             if not b.num_rows:
                 continue
             order = pa.compute.sort_indices(b.column(item_id))
             b = b.take(order)
             s = np.round(SCORES[score](_matrix(b.column(value), hasher), given), digits).T + 0.0
-            rows, cols = [], []
             n = min(k, s.shape[1])
-            bar = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-            for q in range(s.shape[0]):  # of equal scores the smaller items
-                over = np.flatnonzero(s[q] > bar[q])
-                even = np.flatnonzero(s[q] == bar[q])[: n - len(over)]
-                pick = np.concatenate([over, even])
-                if least is not None:
-                    pick = pick[s[q][pick] >= least]
-                rows.append(np.full(len(pick), q))
-                cols.append(pick)
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), b.column(item_id).take(pa.array(cols)), pa.array(s[rows, cols])], names=names)
+            bar = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+            over, even = s > bar, s == bar
+            even &= np.cumsum(even, 1) <= n - over.sum(1, keepdims=True)  # of equal scores the smaller items
+            rows, cols = np.nonzero(over | even)
+            if least is not None:
+                good = s[rows, cols] >= least
+                rows, cols = rows[good], cols[good]
+            kept.append(pa.table({"q": pa.array(rows), "s": pa.array(s[rows, cols]), "i": b.column(item_id).take(pa.array(cols))}))
+            if len(kept) > 4:
+                kept = [trimmed()]
+        if kept:
+            done = trimmed().combine_chunks()
+            for c in done.to_batches():
+                yield pa.RecordBatch.from_arrays([ids.take(c.column("q")), c.column("i"), c.column("s")], names=names)
 
     return best
 
 
-def nearest_held(queries: DataFrame, items: DataFrame, keys: list[str], text: str, item_id: str, item_text: str, k: int = 5, least: float | None = None, dim: int = 256, digits: int = 9, most: int = 200_000) -> DataFrame:
+def nearest_held(queries: DataFrame, items: DataFrame, keys: list[str], text: str, item_id: str, item_text: str, k: int = 5, least: float | None = None, dim: int = 256, digits: int = 9, held: int = 200_000) -> DataFrame:
     """(keys..., item_id, score, rank): for each of any number of queries the k items of best cosine of hashed vectors, ties by item.
 
-    The other way round than nearest(): items are few and held by the tasks (refused above `most`), queries stream past them and are
-    never shuffled."""
-    rows = items.select(item_id, item_text).orderBy(item_id).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many items for the tasks to hold")
-    ids = pa.array([r[0] for r in rows])
-    held = queries.sparkSession.sparkContext.broadcast((ids, Hasher(dim)([r[1] for r in rows])))
+    The other way round than nearest(): tasks hold the items, `held` of them at a time, and queries stream past them and are never shuffled; with
+    more items the k best of each pass are ranked together."""
+    spark = queries.sparkSession
+    passes = max(1, -(-items.count() // held))
     schema = T.StructType([queries.schema[c] for c in keys] + [T.StructField(item_id, items.schema[item_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(dim)
-        ids, matrix = held.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            s = np.round(hasher(b.column(text).to_pylist()) @ matrix.T, digits)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(s, order, 1)
-            row, rank = np.nonzero(score >= least) if least is not None else np.nonzero(np.ones_like(score, bool))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keys), ids.take(pa.array(order[row, rank])).cast(pa_type(schema[item_id])), pa.array(score[row, rank]), pa.array((rank + 1).astype(np.int32))], names=schema.fieldNames())
+    def best_of(shared):
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher = Hasher(dim)
+            ids, matrix = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                s = np.round(hasher(b.column(text).to_pylist()) @ matrix.T, digits)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(s, order, 1)
+                row, rank = np.nonzero(score >= least) if least is not None else np.nonzero(np.ones_like(score, bool))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keys), ids.take(pa.array(order[row, rank])).cast(pa_type(schema[item_id])), pa.array(score[row, rank]), pa.array((rank + 1).astype(np.int32))], names=schema.fieldNames())
+
+        return best
 
-    return queries.select(*keys, text).mapInArrow(best, schema)
+    out = None
+    for p in range(passes):
+        part = items.select(item_id, item_text)
+        rows = (part.where(F.pmod(F.xxhash64(item_id), F.lit(passes)) == p) if passes > 1 else part).orderBy(item_id).collect()  # about `held`
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in rows], pa_type(schema[item_id])), Hasher(dim)([r[1] for r in rows])))
+        one = queries.select(*keys, text).mapInArrow(best_of(shared), schema)
+        out = one if out is None else out.unionAll(one)
+    return out if passes == 1 else top(out.drop("rank"), keys, [F.desc("score"), F.col(item_id)], k)
 
 
 def pa_type(field: T.StructField) -> pa.DataType:
@@ -156,6 +176,8 @@ def overlap(queries: DataFrame, edges: DataFrame, query_id: str = "query_id", qu
     rel = F.coalesce(F.col("type"), F.lit("RELATED"))
     words = txt.graph_tokens(F.concat_ws(" ", "source", rel, "target", *extra))
     left = queries.select(query_id, F.explode(txt.graph_tokens(query)).alias("w"))
+    if left.limit(HELD + 1).count() <= HELD:
+        left = F.broadcast(left)  # then no word, however many edges share it, is a key of a shuffle; else hot words are split by adaptive joins
     right = edges.select("edge_id", F.explode(words).alias("w"))
     hits = right.join(left, "w").groupBy(query_id, "edge_id").agg(F.count("*").cast("double").alias("score"))
     best = top(hits, [query_id], [F.desc("score"), F.col("edge_id")], k)
@@ -175,19 +197,24 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def soft_match(spans: DataFrame, events: DataFrame, least: float | None = None) -> DataFrame:
     """RET22: for each span (doc_id, span_id, span_text[, neighbour_pos]) the best event (doc_id, event_id, event_text, event_tag,
     text) of its document: .45 word Jaccard + .45 sequence ratio + .10 containment, + .03 for ACTION_ tags, - .02 log1p of the
-    distance to neighbour_pos; ties to the larger event_id."""
+    distance to neighbour_pos; ties to the larger event_id.  The sequence ratio leaves the JVM only for events that it could still make the best."""
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
     both = spans.join(events, "doc_id")
+    la, lb = F.length(txt.soft_norm("span_text")), F.length(txt.soft_norm("event_text"))
+    most = F.when(la + lb > 0, 2 * F.least(la, lb) / (la + lb)).otherwise(1.0)  # no sequence ratio is larger
     a, b = txt.soft_tokens("span_text"), txt.soft_tokens("event_text")
-    score = 0.45 * txt.jaccard(F.array_distinct(a), F.array_distinct(b)) + 0.45 * ratio(txt.soft_norm("span_text"), txt.soft_norm("event_text")) + 0.10 * txt.containment(F.array_join(a, " "), F.array_join(b, " "))
+    score = 0.45 * txt.jaccard(F.array_distinct(a), F.array_distinct(b)) + 0.10 * txt.containment(F.array_join(a, " "), F.array_join(b, " "))
     score = score + F.when(F.col("event_tag").startswith("ACTION_"), 0.03).otherwise(0.0)
     if "neighbour_pos" in spans.columns:
         at = F.instr(txt.soft_norm("text"), txt.soft_norm("event_text")) - 1
         score = score - F.when(F.col("neighbour_pos").isNotNull() & (at >= 0), 0.02 * F.log1p(F.abs(F.col("neighbour_pos") - at))).otherwise(0.0)
-    ranked = top(both.withColumn("score", score), ["doc_id", "span_id"], [F.desc("score"), F.desc("event_id")], 1)
+    scored = both.withColumn("_low", score).withColumn("_most", F.max("_low").over(Window.partitionBy("doc_id", "span_id"))).where(F.col("_low") + 0.45 * most >= F.col("_most") - 1e-9)
+    exact = scored.withColumn("score", F.col("_low") + 0.45 * ratio(txt.soft_norm("span_text"), txt.soft_norm("event_text")))
+    ranked = top(exact, ["doc_id", "span_id"], [F.desc("score"), F.desc("event_id")], 1)
     return ranked.select("doc_id", "span_id", "event_id", "score") if least is None else ranked.where(F.col("score") >= least).select("doc_id", "span_id", "event_id", "score")
 
 

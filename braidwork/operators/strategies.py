@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import answers, text as txt
 from braidwork.operators import relations
+from braidwork.operators.filters import well_formed
+from braidwork.session import stage
 
 Client = Callable[[list[dict]], str]
 
@@ -42,27 +44,39 @@ def message(role: str, *parts: Column | str) -> Column:
 def generate(df: DataFrame, messages: Column, client: Client, out: str = "raw") -> DataFrame:
     """STR0: a column of answers of client, a function from messages to text, called once a row; null messages get no call.
 
-    The call is not repeatable in general: stage the result before it is used twice."""
+    The calls are made here, and the rows with their answers written to the shared folder: whatever reads them later, and however often, makes
+    no call again."""
 
     @F.pandas_udf("string")
     def call(batch: pd.Series) -> pd.Series:
         return batch.map(lambda m: client(json.loads(m)) if m is not None else None)
 
-    return df.withColumn(out, call(F.to_json(messages)))
+    return stage(df.withColumn(out, call(F.to_json(messages))))
 
 
-def entity_lines() -> Column:
-    """SCA6: a line per entity: id, its mentions, its type."""
+def entity_lines(most: int | None = None, mentions: int | None = None) -> Column:
+    """SCA6, WIN12: a line per entity: id, its mentions, its type; the first `most` entities with their first `mentions` mentions, in input order."""
 
     def line(k: Column, e: Column) -> Column:
-        names = F.array_distinct(F.filter(F.transform(F.coalesce(e["mentions"], F.array().cast(MENTIONS)), lambda m: F.coalesce(F.nullif(m["trigger_word"], F.lit("")), F.nullif(m["text"], F.lit("")))), lambda t: t.isNotNull()))
+        given = F.coalesce(e["mentions"], F.array().cast(MENTIONS))
+        names = F.array_distinct(F.filter(F.transform(given if mentions is None else F.slice(given, 1, mentions), lambda m: F.coalesce(F.nullif(m["trigger_word"], F.lit("")), F.nullif(m["text"], F.lit("")))), lambda t: t.isNotNull()))
         kind = F.coalesce(F.nullif(e["type"], F.lit("")), F.lit(""))
         return F.concat(F.lit("- "), k, F.lit(': "'), F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(k), F.lit('"'), F.when(kind != "", F.concat(F.lit(" ["), kind, F.lit("]"))).otherwise(""))
 
-    rows = F.transform(F.map_entries("entities"), lambda x: line(x["key"], x["value"]))
+    entries = F.map_entries("entities")
+    rows = F.transform(entries if most is None else F.slice(entries, 1, most), lambda x: line(x["key"], x["value"]))
     return F.when(F.size(rows) > 0, F.array_join(rows, "\n")).otherwise("(no entities provided)")
 
 
+def relation_lines(relations_: Column | str, pairs: int = 6, total: int = 20) -> Column:
+    """WIN12: a line `head rel tail` for each pair of a map from relation to pairs: the first `pairs` of each relation, the first `total` of all;
+    pairs that aren't two strings go first."""
+    entries = F.map_entries(F.col(relations_) if isinstance(relations_, str) else relations_)
+    fine = lambda v: F.slice(F.filter(F.coalesce(v, F.array().cast("array<array<string>>")), well_formed), 1, pairs)
+    lines = F.flatten(F.transform(entries, lambda x: F.transform(fine(x["value"]), lambda p: F.concat_ws(" ", F.lit("-"), p[0], x["key"], p[1]))))
+    return F.array_join(F.slice(F.coalesce(lines, F.array().cast("array<string>")), 1, total), "\n")
+
+
 MENTIONS = "array<struct<id:string,trigger_word:string,text:string,name:string,sent_id:int,sentence_id:int,token_id:int,offset:array<int>>>"
 
 
@@ -106,6 +120,7 @@ class Strategy:
     prune: bool = False
     alias: bool = False
     need_links: bool = False
+    caps: tuple[int | None, int | None] = (None, None)
     extra: dict = field(default_factory=dict)
 
 
@@ -120,7 +135,7 @@ STRATEGIES = {
         Strategy("triple_kg_rag", context="triples"),
         Strategy("community_kg_rag", context="communities", prune=True),
         Strategy("og_rag", context="lines", ends="surface_first"),
-        Strategy("grow_rag", context="subontology", ends="strict_tail_literal", need_links=True),
+        Strategy("grow_rag", context="subontology", ends="strict_tail_literal", need_links=True, caps=(12, 2)),
         Strategy("chunk_rag", context="chunks", ends="keep_unresolved"),
         Strategy("agentic", context="ontology_and_kg"),
         Strategy("agentic_graph", context="ontology_and_kg", ends="strict_tail_literal", extra={"lookups": True}),
@@ -130,8 +145,8 @@ STRATEGIES = {
 }
 
 
-def prompt(types: Column, context: Column | None, draft: Column | None = None, reasoning: Column | None = None, task: str = SYSTEM) -> Column:
-    parts: list[Column | str] = [F.concat(F.lit("Relation types: "), F.array_join(types, ", ")), "Entities:", entity_lines()]
+def prompt(types: Column, context: Column | None, draft: Column | None = None, reasoning: Column | None = None, task: str = SYSTEM, caps: tuple[int | None, int | None] = (None, None)) -> Column:
+    parts: list[Column | str] = [F.concat(F.lit("Relation types: "), F.array_join(types, ", ")), "Entities:", entity_lines(*caps)]
     if context is not None:
         parts += ["Context:", txt.truncated(context)]
     if reasoning is not None:
@@ -143,7 +158,7 @@ def prompt(types: Column, context: Column | None, draft: Column | None = None, r
 
 def run(documents: DataFrame, strategy: str | Strategy, client: Client, context: DataFrame | None = None, types: list[str] | None = None, budget: int = 3) -> DataFrame:
     """STR1-STR13, STR17: (document_id, pred_relations, calls, raw): the predictions of a strategy for documents (one row per
-    document_id).  context is (document_id, context); documents without one are prompted without, unless the strategy needs links: then
+    document_id), the model being called exactly `calls` times for each.  context is (document_id, context); documents without one are prompted without, unless the strategy needs links: then
     all their types are empty and no call is made."""
     s = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
     df = documents.withColumn("types", txt.relation_types(types, "relations"))
@@ -155,17 +170,17 @@ def run(documents: DataFrame, strategy: str | Strategy, client: Client, context:
     ask = F.col("ontology_links").isNotNull() if s.need_links else F.lit(True)
     ctx = F.col("context") if s.context else None
     if "reason" in s.calls:
-        df = generate(df, F.when(ask, prompt(F.col("prompt_types"), ctx, task=REASON)), client, "reasoning")
-    df = generate(df, F.when(ask, prompt(F.col("prompt_types"), ctx, reasoning=F.col("reasoning") if "reason" in s.calls else None)), client)
+        df = generate(df, F.when(ask, prompt(F.col("prompt_types"), ctx, task=REASON, caps=s.caps)), client, "reasoning")
+    df = generate(df, F.when(ask, prompt(F.col("prompt_types"), ctx, reasoning=F.col("reasoning") if "reason" in s.calls else None, caps=s.caps)), client)
     read = (lambda c: answers.by_alias(answers.relations(c), "types")) if s.alias else (lambda c: answers.normalised(F.coalesce(answers.relations(answers.json_object(c)), F.create_map().cast("map<string,array<array<string>>>")), "types"))
     df = df.withColumn("pred", read("raw"))
     calls = 1 + ("reason" in s.calls)
     if "critic" in s.calls and budget > calls:
-        df = generate(df, prompt(F.col("prompt_types"), ctx, draft=F.to_json("pred"), task=CRITIC), client, "gaps").withColumn("more", read("gaps"))
+        df = generate(df, prompt(F.col("prompt_types"), ctx, draft=F.to_json("pred"), task=CRITIC, caps=s.caps), client, "gaps").withColumn("more", read("gaps"))
         df = df.withColumn("pred", F.map_from_arrays("types", F.transform("types", lambda t: F.array_distinct(F.concat(F.try_element_at("pred", t), F.try_element_at("more", t))))))
         calls += 1
     if "verify" in s.calls and budget > calls:
-        df = generate(df, prompt(F.col("prompt_types"), ctx, draft=F.to_json("pred"), task=VERIFY), client, "checked")
+        df = generate(df, prompt(F.col("prompt_types"), ctx, draft=F.to_json("pred"), task=VERIFY, caps=s.caps), client, "checked")
         df = df.withColumn("pred", F.when(answers.json_object("checked").isNotNull(), read("checked")).otherwise(F.col("pred")))
         calls += 1
     out = df.select("document_id", "types", F.coalesce("pred", answers.normalised(F.create_map().cast("map<string,array<array<string>>>"), "types")).alias("pred_relations"), F.when(ask, calls).otherwise(0).alias("calls"), "raw")

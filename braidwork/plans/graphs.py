@@ -75,10 +75,10 @@ _HOP2 = f"""{EDGES}, h1 AS (SELECT s.document_id, row_number() OVER (PARTITION B
   ranked AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY hop, "at", o)::INT AS rank, hop::INT AS hop, head, rel, tail FROM walk)"""
 
 
-@query("kg_bfs", f"{_HOP2} SELECT * FROM ranked WHERE rank <= 6 AND rel <> 'RESULT'")
+@query("kg_bfs", f"{_HOP2} SELECT * FROM ranked WHERE rank <= 200 AND rel <> 'RESULT'")
 def kg_bfs(spark, d):
     docs = documents(spark, d)
-    return graph.neighbourhood(docs, graph.gold_edges(docs), 2, 6).where("rel <> 'RESULT'")
+    return graph.neighbourhood(docs, graph.gold_edges(docs), 2).where("rel <> 'RESULT'")
 
 
 @query(

@@ -32,8 +32,8 @@ def chunk_windows(spark, d):
 
 @query(
     "chunk_hierarchy",
-    f"""WITH p AS (SELECT doc_id, i AS p, substr(array_to_string(w[i:i + 127], ' '), 1, 20000) AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, 112)) AS i FROM (SELECT doc_id, {_WORDS('text')} AS w FROM documents))),
-    l AS (SELECT doc_id, p, i, substr(array_to_string(w[i:i + 31], ' '), 1, 20000) AS text FROM (SELECT doc_id, p, w, unnest(range(1, len(w) + 1, 16)) AS i FROM (SELECT doc_id, p, {_WORDS('text')} AS w FROM p))),
+    f"""WITH p AS (SELECT doc_id, i AS p, array_to_string(w[i:i + 127], ' ') AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1, 112)) AS i FROM (SELECT doc_id, {_WORDS('text')} AS w FROM documents))),
+    l AS (SELECT doc_id, p, i, array_to_string(w[i:i + 31], ' ') AS text FROM (SELECT doc_id, p, w, unnest(range(1, len(w) + 1, 16)) AS i FROM (SELECT doc_id, p, {_WORDS('text')} AS w FROM p))),
     b AS (SELECT doc_id, p, -1 AS i, text FROM p UNION ALL SELECT * FROM l), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY p, i) - 1)::INT AS chunk FROM b)
     SELECT doc_id, chunk, CASE WHEN i < 0 THEN 0 ELSE 1 END::INT AS level, CASE WHEN i < 0 THEN 0 ELSE 1 END::INT AS is_leaf, CASE WHEN i >= 0 THEN min(chunk) OVER (PARTITION BY doc_id, p) END AS parent, {_LABEL('text')} AS subject_label, text FROM n""",
 )

@@ -56,8 +56,8 @@ class Pipeline:
     exporters: tuple[Callable[[DataFrame], None], ...] = ()
 
     def run(self, tasks: DataFrame) -> DataFrame:
-        """(task_id, task_type, output, raw, n_evidence, evidence[, metrics]) of tasks (task_id, task_type, query, ...); one plan for all of
-        them, the model being called once per task."""
+        """(task_id, task_type, output, raw, n_evidence, evidence[, metrics]) of tasks (task_id, task_type, query, ...); the model is called
+        once per task, before the evaluator and the exporters read the answers."""
         if self.client is None:
             raise ValueError("a pipeline needs a client")
         have = set(tasks.columns)
