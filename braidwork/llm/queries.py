@@ -177,6 +177,16 @@ def p8_shares(spark, d):
     return mix.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+@query("p8_holds", "SELECT source, true AS reached, true AS within FROM mix_targets WHERE source IS NOT NULL")
+def p8_holds(spark, d):
+    """Whether each source's share is within 1 % of what it should be among the sources that have text, and none of its documents is used
+    too often."""
+    targets = table(spark, d, "mix_targets")
+    drawn, shares = mix.mixture(table(spark, d, "documents"), targets)
+    most = drawn.groupBy("source").agg(F.max("copies").alias("copies"))
+    return shares.join(most, "source", "left").select("source", (F.abs(F.col("actual_share") - F.col("wanted_share")) < 0.01).alias("reached"), (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within"))
+
+
 @query("p9_found")
 def p9_found(spark, d):
     return level.levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "level")

@@ -49,6 +49,7 @@ def test_mixture_cases(spark):
     drawn, shares = mixture(docs, goals)
     s = {r.source: r for r in shares.collect()}
     assert s["b"].tokens == 3 * s["b"].available  # b is what limits the size
+    assert set(s) == {"a", "b", "none", "zero"} and s["zero"].tokens == s["zero"].documents == 0 and s["zero"].actual_share == 0
     assert abs(s["a"].actual_share - 5 / 9) < 0.08 and s["none"].tokens == 0
     small = {r.doc_id for r in mixture(docs, goals, total=1000)[0].collect()}
     large = {r.doc_id for r in mixture(docs, goals, total=2500)[0].collect()}
