@@ -60,6 +60,12 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(48)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(_SLOTS - 1)).astype(np.int64)
 
 
+def ranks(rare: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """How frequent each element is over all texts, on the scale of rarity()."""
+    one, two = _slots(g)
+    return np.minimum(rare[0][one], rare[1][two]).astype(np.uint64)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], names: list[str], least: int) -> Iterator[tuple[list, ...]]:
     """The named columns and the words of the texts that are long enough, some at once."""
     for whole in batches:
@@ -122,8 +128,7 @@ def _prefixes(docs: DataFrame, name: str, least: int, one_in: int, table, index:
             h, size = many([texts[k] for k in new])
             g, t = bags(h, size)
             bits = signatures(g, t, size).view(np.int64)
-            one, two = _slots(g)
-            rank = np.minimum(rare[0][one], rare[1][two]).astype(np.uint64)
+            rank = ranks(rare, g)
             # text, rarity, hash: sorted, each text's elements stand from rare to frequent
             order = np.sort((t.astype(np.uint64) << np.uint64(50)) | (rank << np.uint64(42)) | (g & np.uint64((1 << 42) - 1)))
             place = np.arange(len(t)) - (np.cumsum(size) - size)[t]
@@ -155,9 +160,7 @@ def _may(one_in: int) -> Column:
     return F.expr(f"{fits} AND {placed} AND {folded} <= {apart} AND ({short} OR {wide} <= {apart})")
 
 
-def candidates(left: DataFrame, right: DataFrame | None, table, least: int, one_in: int) -> DataFrame:
-    """(e, t), each once: all pairs of ids of left and right (id, text), or e < t of left alone, whose texts may be near-same."""
-    index = _prefixes(left, "e", least, one_in, table, True)
-    probe = _prefixes(left if right is None else right, "t", least, one_in, table, False)
-    on = _may(one_in) if right is not None else F.expr("e < t") & _may(one_in)
-    return index.join(probe, "key").where(on).select("e", "t").distinct()
+def candidates(left: DataFrame, right: DataFrame, table, least: int, one_in: int) -> DataFrame:
+    """(e, t), each once: all pairs of ids of left and right (id, text) whose texts may be near-same."""
+    index, probe = _prefixes(left, "e", least, one_in, table, True), _prefixes(right, "t", least, one_in, table, False)
+    return index.join(probe, "key").where(_may(one_in)).select("e", "t").distinct()

@@ -5,9 +5,9 @@ import random
 import numpy as np
 
 from braidwork.llm.crosssplit import overlaps, report
-from braidwork.llm.nearsame import BITS, Plan, _ball, _masks, fit, near_groups, near_pairs, signature
+from braidwork.llm.nearsame import Plan, fit, near_groups, near_pairs, plain_plan, step, taken
 from braidwork.llm.texts import components, same
-from braidwork.llm.words import hashes, many, many_shingles, shingles, words
+from braidwork.llm.words import hashes, many, many_shingles, mix, shingles, words
 
 rng = random.Random(5)
 VOCAB = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ato", "ine", "ora", "ulk", "esh", "ipo")]
@@ -75,32 +75,41 @@ def test_groups(spark):
     assert near_pairs(docs.limit(0)).count() == 0
 
 
-def test_pigeonhole_is_exact(spark):
-    """Every pair of signatures within the distance is a candidate, for cut groups and blocks too."""
-    from braidwork.llm import nearsame
+def units_share_a_key(plan, a, b, one_in):
+    """Whether two sets of bits meet in a key."""
+    got = []
+    for bits in (a, b):
+        g = np.array(sorted(bits), np.uint64)
+        got.append(set(taken(plan, np.zeros(len(g), np.int64), g, mix(g), np.array([len(g) // one_in + 1]))[0].tolist()))
+    return got[0] & got[1]
 
-    n = 300
+
+def test_pigeonhole_is_exact():
+    """Any two sets that are near-same meet, whatever the parts, their order and the shared bits asked for."""
     r = np.random.default_rng(1)
-    s = r.integers(0, 2**63 - 1, (n, 2))
-    for k in range(0, n, 2):  # neighbours of all distances up to 24
-        for bit in r.choice(BITS, k // 12, replace=False):
-            s[k + 1, 0 if bit < 63 else 1] = s[k if bit == -1 else k + 1, 0 if bit < 63 else 1]
-        s[k + 1] = s[k]
-        for bit in r.choice(BITS, k // 12, replace=False):
-            s[k + 1, int(bit >= 63)] ^= 1 << int(bit % 63)
-    texts = spark.createDataFrame([(i, 100, int(a), int(b)) for i, (a, b) in enumerate(s)], "cls bigint, n int, s1 bigint, s2 bigint").repartition(2)
-    d = np.bitwise_count((s[:, None] ^ s[None]).astype(np.uint64)).sum(2)
-    want = sorted((i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] <= 18)
-    for group in (50_000, 40, 5):
-        assert sorted(map(tuple, nearsame.near_classes(texts, apart=18, group=group).collect())) == want
-    plan = fit(s[:, 0], s[:, 1], n, 18)
-    assert sum(plan.thresholds) == 18 - 6 + 1 and sorted(plan.bits.ravel()) == list(range(BITS))
-    assert isinstance(plan, Plan) and len(_masks(21, 2)) == _ball(21, 2)
-
-
-def test_signature_and_shingles():
+    pool = np.unique(r.integers(0, 2**50, 3000, dtype=np.uint64))
+    samples = [(np.sort(x), mix(np.sort(x))) for x in (r.choice(pool, 60, replace=False) for _ in range(40))]
+    k = int(np.log(60) / step(6))
+    made = [fit(k, 6, samples, 1e6, pool), fit(k, 6, samples, 10, pool), plain_plan(k, 6, pool), plain_plan(k, 6, pool[:0])]
+    assert (made[0].shared != made[1].shared).any() or (made[0].place != made[1].place).any()  # the estimates decide
+    for plan in [*made, Plan(made[2].ends, 3, made[2].place[::-1].copy(), made[2].shared)]:
+        for _ in range(60):
+            n = int(r.integers(52, 66))
+            a = set(r.choice(pool, n, replace=False).tolist())
+            lost = int(r.integers(0, n // 6 + 1))
+            b = set(list(a)[lost:]) | set(r.choice(pool, int(r.integers(0, lost + 1)), replace=False).tolist())
+            if (max(len(a), len(b)) - len(a & b)) * 6 <= max(len(a), len(b)):
+                assert units_share_a_key(plan, a, b, 6)
+
+
+def test_short_texts_and_shingles():
+    for k in range(0, 12):
+        plan = plain_plan(k, 6, np.zeros(0, np.uint64))
+        for n in range(max(1, int(np.exp(k * step(6)) * 5 / 6)), int(np.exp((k + 1) * step(6)) * 6 / 5) + 2):
+            g = mix(np.arange(n, dtype=np.uint64))
+            keys, _ = taken(plan, np.zeros(n, np.int64), g, g, np.array([n // 6 + 1]))
+            assert len(keys)  # equal texts meet, so every text has a key
     a, b = text(80), text(80)
-    assert signature(hashes(a)) == signature(hashes(turned(a))) != signature(hashes(b))
     h, size = many([a, [], b, ["x"]])
     g, t = many_shingles(h, size, 3)
     assert len(g) == 156 and set(t.tolist()) == {0, 2}
