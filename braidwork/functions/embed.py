@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,17 +52,34 @@ class Hasher:
         return out / np.where(norm > 0, norm, 1.0)
 
 
-def embed(df: DataFrame, text: str, out: str = "vector", dim: int = 256) -> DataFrame:
-    """A column with each text's vector, by Arrow batches; any embedder of the shape texts -> matrix can stand in for Hasher."""
+Loader = Callable[[], Callable[[list], object]]
+
+
+def embed(df: DataFrame, text: str, out: str = "vector", dim: int = 256, make: Loader | None = None) -> DataFrame:
+    """A column with each text's vector, by Arrow batches.  RET2: make is a model's loader: a function without arguments that gives one from a
+    list of texts to a matrix; it is called once in a task, before the first batch."""
+
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = Hasher(dim)
+        model = Hasher(dim) if make is None else make()
         for s in batches:
-            yield pd.Series(list(hasher(s.tolist())))
+            yield pd.Series([np.asarray(v, np.float64) for v in model(s.tolist())], dtype=object)
 
     return df.withColumn(out, vectors(F.col(text)))
 
 
+def pair_score(query: str, text: str, make: Loader) -> Column:
+    """WIN9: the scores that a model gives to pairs of query and text; make loads it, once in a task, and it takes a list of pairs."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for q, t in batches:
+            yield pd.Series(np.asarray(model(list(zip(q.tolist(), t.tolist(), strict=True))), np.float64))
+
+    return score(F.col(query), F.col(text))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """RET11: 0 if a vector has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -85,8 +85,8 @@ def rationale(x: Column | str) -> Column:
 
 
 def canonical_relation(x: Column | str) -> Column:
-    """SCA7: the part before the colon, trimmed."""
-    return F.trim(F.split_part(_c(x), F.lit(":"), F.lit(1)))
+    """SCA7: the part before the colon, without white space of any kind at its ends."""
+    return F.regexp_replace(F.split_part(_c(x), F.lit(":"), F.lit(1)), r"(?U)^\s+|\s+$", "")
 
 
 def label_tokens(x: Column | str) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.session import file_state
+
 
 def eligible(documents: DataFrame, types: list[str] | None = None) -> DataFrame:
     """AGG14: all documents, and those of the types given that have text or sentences."""
@@ -30,6 +32,8 @@ def energy(runs: DataFrame, power_kw: float = 0.3, kg_per_kwh: float = 0.045) ->
     )
 
 
-def build_hash(**parameters: object) -> str:
-    """IDX4: 12 hex digits that tell parameters of a build apart."""
-    return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:12]
+def build_hash(spark: SparkSession | None = None, path: str | None = None, **parameters: object) -> str:
+    """IDX4: 12 hex digits that tell builds apart by their parameters and, where a path is given, by the place, size and time of change of the
+    file they were made from."""
+    state = [path, *file_state(spark, path)] if path is not None else []
+    return hashlib.sha256(json.dumps([state, parameters], sort_keys=True, default=str).encode()).hexdigest()[:12]

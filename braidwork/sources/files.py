@@ -118,9 +118,7 @@ def cause_effect(spark: SparkSession, path: str) -> DataFrame:
 
 def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC12: a table whose delimiter, ; or , is read off its first 4 KiB; names of columns in any case; empty rows go."""
-    first = next(iter(sorted(Path(path).glob("*"))), Path(path)) if os.path.isdir(path) else Path(path)
-    with open(first, encoding="utf-8-sig") as f:
-        head = f.read(4096)
+    head = "\n".join(r.value for r in spark.read.text(path).limit(100).collect())[:4096]
     try:
         sep = csv.Sniffer().sniff(head, ";,").delimiter
     except csv.Error:

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import write_text
+
 
 def json_result(df: DataFrame, path: str) -> None:
     """SNK1: one result as an indented JSON file; more than one row is refused."""
     rows = df.limit(2).toJSON().collect()
     if len(rows) != 1:
         raise ValueError("one row is needed")
-    Path(path).write_text(json.dumps(json.loads(rows[0]), indent=2, ensure_ascii=False), encoding="utf-8")
+    write_text(df.sparkSession, path, json.dumps(json.loads(rows[0]), indent=2, ensure_ascii=False))
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwork.session import file_state, stage
+
 # Names of the RDF, RDFS, OWL and SKOS vocabularies.
 RDF, RDFS, OWL, SKOS, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2004/02/skos/core#", "http://www.w3.org/2001/XMLSchema#"
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "skos": SKOS, "xsd": XSD}
@@ -150,17 +152,15 @@ def concepts(rdf: DataFrame) -> DataFrame:
     return out.select(F.col("s").alias("uri"), F.coalesce("a", "b", end).alias("label"), "description", "aliases")
 
 
-_CACHE: dict[tuple[str, float], DataFrame] = {}
+_KEPT: dict[str, tuple[tuple[int, int], DataFrame]] = {}
 
 
 def cached(spark: SparkSession, path: str) -> DataFrame:
-    """SRC9: the triples of a local file, kept until the file changes."""
-    import os
-
-    key = (path, os.stat(path).st_mtime_ns)
-    if key not in _CACHE:
-        _CACHE[key] = load(spark, path).cache()
-    return _CACHE[key]
+    """SRC9: the triples of a file or folder, parsed once into the shared folder until its size or time of change is another."""
+    now = file_state(spark, path)
+    if path not in _KEPT or _KEPT[path][0] != now or _KEPT[path][1].sparkSession is not spark:
+        _KEPT[path] = now, stage(load(spark, path))
+    return _KEPT[path][1]
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from braidwork.operators import filters, relations
+from braidwork.session import shared_dir
 
 
 def file_stream(spark: SparkSession, directory: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -52,7 +55,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over all that is there into a table in memory; for results of bounded size."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a streaming frame over all that is there, each batch written to a folder `name` of the shared folder, with the stream's state beside
+    it; in complete mode the last batch is the result, else all of them are."""
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result/batch={number}")
+        batches.append(number)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not batches:
+        return df.sparkSession.createDataFrame([], df.schema)
+    kept = batches[-1:] if mode == "complete" else batches
+    return df.sparkSession.read.schema(df.schema).parquet(*(f"{at}/result/batch={n}" for n in kept))
