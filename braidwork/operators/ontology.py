@@ -170,9 +170,9 @@ def links_v1(linked: DataFrame, method: str = "embedding", ontology_key: str = "
     """IDX11: (document_id, ontology_links) in the nested form from linked rows; candidates by score, then rank."""
     candidate = lambda c: F.struct(F.lit(kind).alias("target_kind"), c["concept_uri"].alias("concept_uri"), c["label"].alias("label"), c["score"].alias("score"), F.lit(method).alias("source"), F.lit(None).cast("map<string,string>").alias("evidence"))
     by = linked.groupBy("document_id", "entity_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "rank", F.struct("concept_uri", "label", "score").alias("c")))).alias("cs"))
-    entry = F.struct(F.transform("cs", lambda x: candidate(x["c"])).alias("candidates"), F.lit(None).cast(CANDIDATE).alias("selected"))
+    entry = lambda cs: F.struct(F.transform(cs, lambda x: candidate(x["c"])).alias("candidates"), F.lit(None).cast(CANDIDATE).alias("selected"))
     meta = F.struct(F.lit("1.0").alias("schema_version"), F.lit(method).alias("method"), F.lit(ontology_key).alias("ontology_key"), F.create_map(*(F.lit(x) for kv in (params or {"top_k": "3"}).items() for x in kv)).alias("params"), txt.iso_utc(F.current_timestamp()).alias("created_at"))
-    return by.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("entity_id", entry.alias("v")))).alias("by_entity")).select("document_id", F.struct(meta.alias("_meta"), "by_entity").alias("ontology_links"))
+    return by.groupBy("document_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("entity_id", "cs"))), lambda x: F.struct(x["entity_id"], entry(x["cs"])))).alias("by_entity")).select("document_id", F.struct(meta.alias("_meta"), "by_entity").alias("ontology_links"))
 
 
 def empty_links(documents: DataFrame) -> DataFrame:

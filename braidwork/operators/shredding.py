@@ -201,9 +201,11 @@ def _table_maker(record_id, column, paths, probe, key_paths, k, names):
                     cols.append(pa.nulls(len(rows), pa.string()))
                     continue
                 r2, p2, e2 = elements(key, level)
-                code = {c: i for i, c in enumerate(zip(r2.tolist(), *(p.tolist() for p in p2), strict=True))}
-                find = np.array([code[c] for c in zip(record.tolist(), *(p.tolist() for p in pos[:level]), strict=True)], np.int64)
-                cols.append(key.take(e2).cast(pa.string()).take(pa.array(find)) if len(find) else pa.nulls(0, pa.string()))
+                own, wanted = r2, record
+                for mine, theirs in zip(p2, pos[:level], strict=True):  # both are in the order of records and positions
+                    width = int(max(mine.max(initial=0), theirs.max(initial=0))) + 1
+                    own, wanted = own * width + mine, wanted * width + theirs
+                cols.append(key.take(e2).cast(pa.string()).take(pa.array(np.searchsorted(own, wanted))) if len(rows) else pa.nulls(0, pa.string()))
             cols.append(pa.array(leaves[probe].dfn[rows] > leaves[probe].repeated[k - 1][1]))
             for path in paths:
                 leaf = leaves[path]

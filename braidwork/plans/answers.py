@@ -53,14 +53,14 @@ def normalise_relations(spark, d):
 
 @query(
     "alias_relations",
-    f"""WITH {LATEST}, n AS (SELECT document_id, unnest(map_entries(pred_relations)) AS x FROM docs)
-    SELECT document_id, 'P828 : has cause' AS rel, len(list_filter(x.value, lambda p: len(p) = 2 AND p[1] IS NOT NULL AND p[2] IS NOT NULL))::INT AS pairs FROM n WHERE x.key = 'P828 : has cause'""",
+    f"""WITH {LATEST}, n AS (SELECT document_id, unnest({_TYPES!r}) AS rel, pred_relations AS m FROM docs WHERE pred_relations IS NOT NULL)
+    SELECT document_id, rel, len(list_filter(coalesce(m[rel], []), lambda p: len(p) = 2 AND p[1] IS NOT NULL AND p[2] IS NOT NULL))::INT AS pairs FROM n""",
 )
 def alias_relations(spark, d):
     """Keys given by code or by label in capitals, mapped back to the full form."""
-    docs = documents(spark, d).where("map_contains_key(pred_relations, 'P828 : has cause')")
+    docs = documents(spark, d).where("pred_relations IS NOT NULL")
     half = F.transform_keys("pred_relations", lambda k, v: F.when(F.col("row_id") % 2 == 0, F.split_part(k, F.lit(" :"), F.lit(1))).otherwise(F.upper(F.trim(F.substring_index(k, ":", -1)))))
-    m = answers.by_alias(answers.relations(F.to_json(half)), F.array(F.lit("P828 : has cause")))
+    m = answers.by_alias(answers.relations(F.to_json(half)), F.array(*map(F.lit, _TYPES)))
     return docs.select("document_id", F.explode(m).alias("rel", "p")).select("document_id", "rel", F.size("p").alias("pairs"))
 
 

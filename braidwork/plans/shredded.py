@@ -44,3 +44,32 @@ def p1_found(spark, d):
 def p1_mentions(spark, d):
     t = shredding.child_tables(table(spark, d, "re_documents"), "row_id", "entities")["entities.value.mentions"]
     return t.selectExpr("row_id", "pos_1 AS entity_pos", "key_1 AS entity", "pos_2 AS mention_pos", "present", "leaf_id AS id", "leaf_trigger_word AS trigger_word", "leaf_sent_id AS sent_id")
+
+
+@query(
+    "p1_relations",
+    """
+    SELECT row_id, (j - 1)::INT AS relation_pos, k AS relation, (i - 1)::INT AS pair_pos, (e - 1)::INT AS end_pos, w IS NOT NULL AS present, w AS value
+    FROM (SELECT row_id, j, k, i, e, v[i][e] AS w FROM (SELECT row_id, j, k, v, i, unnest(range(1, len(v[i]) + 1)) AS e
+      FROM (SELECT row_id, j, k, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT row_id, j, map_keys(relations)[j] AS k, map_values(relations)[j] AS v
+        FROM (SELECT row_id, relations, unnest(range(1, len(map_keys(relations)) + 1)) AS j FROM re_documents)))))
+    """,
+)
+def p1_relations(spark, d):
+    """Every end of every pair of the relations, malformed pairs included."""
+    t = shredding.child_tables(table(spark, d, "re_documents"), "row_id", "relations")["relations.value.element"]
+    return t.selectExpr("row_id", "pos_1 AS relation_pos", "key_1 AS relation", "pos_2 AS pair_pos", "pos_3 AS end_pos", "present", "leaf_value AS value")
+
+
+@query(
+    "p1_candidates",
+    """
+    SELECT row_id, (e - 1)::INT AS entity_pos, k AS entity, (i - 1)::INT AS candidate_pos, c IS NOT NULL AS present, c.concept_uri AS concept_uri, c.score AS score
+    FROM (SELECT row_id, e, k, i, v.candidates[i] AS c FROM (SELECT row_id, e, k, v, unnest(range(1, len(v.candidates) + 1)) AS i
+      FROM (SELECT row_id, e, map_keys(m)[e] AS k, map_values(m)[e] AS v FROM (SELECT row_id, m, unnest(range(1, len(map_keys(m)) + 1)) AS e FROM (SELECT row_id, ontology_links.by_entity AS m FROM re_documents)))))
+    """,
+)
+def p1_candidates(spark, d):
+    """Every candidate of the ontology links."""
+    t = shredding.child_tables(table(spark, d, "re_documents"), "row_id", "ontology_links")["ontology_links.by_entity.value.candidates"]
+    return t.selectExpr("row_id", "pos_1 AS entity_pos", "key_1 AS entity", "pos_2 AS candidate_pos", "present", "leaf_concept_uri AS concept_uri", "leaf_score AS score")

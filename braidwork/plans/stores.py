@@ -114,7 +114,8 @@ SQL["strategy_agent_context"] = f"""{_LINKED}, top AS (SELECT document_id, entit
     SELECT document_id, nullif(concat_ws(chr(10), c, t), '') AS context FROM docs LEFT JOIN said USING (document_id) LEFT JOIN g USING (document_id)"""
 
 
-_CALLS = {"cot": 2, "marag": 3}
+SQL["links_nested"] = f"""{_LINKED}, one AS (SELECT document_id, entity_id, list({{'target_kind': 'class', 'concept_uri': uri, 'label': label, 'score': score, 'source': 'embedding'}} ORDER BY score DESC, rank) AS candidates FROM r JOIN t USING (id) JOIN cs USING (uri) WHERE rank <= 3 GROUP BY ALL)
+    SELECT document_id, to_json(map_from_entries(list((entity_id, {{'candidates': candidates}}) ORDER BY entity_id)))::VARCHAR AS by_entity FROM one GROUP BY document_id"""
 
 
 @query("strategy_calls", f"""WITH {LATEST}, s AS (SELECT unnest({list(strategies.STRATEGIES)!r}) AS strategy) SELECT document_id, strategy, CASE WHEN strategy = 'grow_rag' AND ontology_links IS NULL THEN 0 WHEN strategy = 'cot' THEN 2 WHEN strategy = 'marag' THEN 3 ELSE 1 END::INT AS calls, 0::BIGINT AS pairs FROM docs, s""")
