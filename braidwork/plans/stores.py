@@ -8,9 +8,9 @@ from braidwork.functions import embed, text as txt
 from braidwork.operators import filters, graph, ontology, retrieve, store, strategies
 from braidwork.plans import contexts
 from braidwork.plans.answers import _EVENTS, events
-from braidwork.plans.evaluation import LATEST, documents
+from braidwork.plans.evaluation import LATEST, LONG, documents
 from braidwork.plans.graphs import EDGES, there, triples
-from braidwork.plans.ontologies import _ENTITY, _MENTION
+from braidwork.plans.ontologies import _ENTITY, _LINES, _MENTION
 from braidwork.plans.registry import SQL, query
 from braidwork.plans.retrieval import SPACE, concept_queries, vectors_sql
 from braidwork.plans.roundtrips import folder
@@ -214,3 +214,31 @@ def prediction_views(spark, d):
     docs = table(spark, d, "re_documents")
     one = filters.primitive_columns(docs).select("row_id", "document_id", "title", "text", "type", "dataset", F.lit(None).cast("boolean").alias("predicted"))
     return one.unionByName(filters.prediction_view(docs).select("document_id", F.col("pred_relations").isNotNull().alias("predicted")), allowMissingColumns=True)
+
+
+SQL["document_graphs"] = f"""{LONG}, ends AS (SELECT document_id, head AS id FROM gold UNION SELECT document_id, tail FROM gold), n AS (SELECT document_id, list({{'id': id, 'label': id}} ORDER BY id) AS nodes FROM ends GROUP BY ALL),
+    e AS (SELECT document_id, list({{'source': head, 'target': tail, 'relation': rel}} ORDER BY head, tail, rel) AS edges FROM gold GROUP BY ALL)
+    SELECT document_id, to_json({{'doc_id': document_id, 'nodes': nodes, 'edges': edges}})::VARCHAR AS graph FROM n JOIN e USING (document_id)"""
+SQL["ttl_context"] = f"""WITH {LATEST}, {_LINES}, l AS (SELECT chunk_id * 100000 + line AS line, text FROM lines), ix AS (SELECT DISTINCT line, unnest(regexp_extract_all(text, '<([^>\\s]+)>', 1)) AS uri FROM l),
+    each AS (SELECT document_id, x.key AS entity, i - 1 AS p, x.value.candidates[i].concept_uri AS uri FROM (SELECT document_id, x, unnest(range(1, least(len(x.value.candidates), 6) + 1)) AS i FROM (SELECT document_id, unnest(map_entries(ontology_links.by_entity)) AS x FROM docs))),
+    uris AS (SELECT document_id, uri, min((entity, p)) AS a FROM each WHERE uri <> '' GROUP BY ALL), hits AS (SELECT document_id, a, ix.line AS hit, unnest(range(greatest(0, ix.line - 2), ix.line + 3)) AS line FROM uris JOIN ix USING (uri)),
+    once AS (SELECT document_id, line, text, min((a, hit, line)) AS a FROM hits JOIN l USING (line) GROUP BY document_id, line, text),
+    picked AS (SELECT *, regexp_matches(lower(text), 'label|comment|definition| rdf:type | a ') AS good, row_number() OVER (PARTITION BY document_id ORDER BY a) AS n FROM once),
+    said AS (SELECT document_id, string_agg(text, chr(10) ORDER BY n) FILTER (good OR NOT any_good) AS found FROM (SELECT *, bool_or(good) OVER (PARTITION BY document_id) AS any_good FROM picked WHERE n <= 200) GROUP BY document_id)
+    SELECT document_id, coalesce(found, CASE WHEN document_id IN (SELECT document_id FROM uris) THEN '{ontology.NO_LINES}' ELSE '{ontology.NO_LINKS}' END) AS context FROM docs LEFT JOIN said USING (document_id)"""
+
+
+def communities_sql(source: str, rounds: int = 8) -> str:
+    """Label propagation as so many tables: label{rounds} (node, community) of the edges of `source`."""
+    out = [f"pairs AS (SELECT least(head, tail) AS a, greatest(head, tail) AS b, count(*) AS weight FROM {source} WHERE head <> tail GROUP BY ALL)", "both_ways AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs)", "label0 AS (SELECT DISTINCT a AS node, a AS community FROM both_ways)"]
+    for k in range(rounds):
+        out.append(f"vote{k} AS (SELECT node, community, sum(weight) AS w FROM (SELECT x.a AS node, community, weight FROM both_ways x JOIN label{k} l ON x.b = l.node UNION ALL SELECT node, community, 1 FROM label{k}) GROUP BY ALL)")
+        out.append(f"label{k + 1} AS MATERIALIZED (SELECT node, arg_min(community, (-w, community)) AS community FROM vote{k} GROUP BY node)")
+    return ", ".join(out)
+
+
+SQL["kg_communities"] = f"WITH {communities_sql('kg_triples')} SELECT * FROM label8"
+SQL["kg_two_stage"] = f"""WITH e AS (SELECT * FROM kg_triples WHERE trim(head) <> '' AND trim(tail) <> ''), {communities_sql('e')},
+    placed AS (SELECT coalesce(h.community, t.community) AS community, sentence_id, triple_id FROM e LEFT JOIN label8 h ON h.node = e.head LEFT JOIN label8 t ON t.node = e.tail WHERE sentence_id IS NOT NULL),
+    once AS (SELECT sentence_id, arg_min(community, (triple_id, community)) AS community, min(triple_id) AS pos FROM placed WHERE community IS NOT NULL GROUP BY sentence_id),
+    {SQL['two_stage_documents'].partition("GROUP BY sentence_id), ")[0].partition("said AS")[1] or "said AS"}{SQL['two_stage_documents'].partition("said AS")[2]}""".replace("WHERE cr <= 3", "WHERE cr <= (SELECT greatest(1, ceil(0.01 * count(*) - 1e-9)) FROM size)")
