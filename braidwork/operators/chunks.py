@@ -16,7 +16,11 @@ def words(x: Column | str) -> Column:
 def windows(tokens: Column, size: int, overlap: int) -> Column:
     """IDX1: slices of `size` words begun every max(1, size - overlap) words, the short last ones kept; none of an empty array."""
     step = max(1, size - max(0, overlap))
-    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)), lambda i: F.slice(tokens, i + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(t: Column) -> Column:
+        return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), F.size(t) - 1, F.lit(step)), lambda i: F.slice(t, i + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.get(F.transform(F.array(tokens), cut), F.lit(0))  # the words are bound once, not made again for each window
 
 
 def label(x: Column | str) -> Column:
@@ -33,14 +37,16 @@ def hierarchy(texts: DataFrame, key: str, text: str, sizes: tuple[int, int] = (5
     an index with such a limit does.  Numbers are counted within a row: nothing is shuffled."""
     cut = (lambda t: t) if most_chars is None else lambda t: F.substring(t, 1, most_chars)
     joined = lambda w: cut(F.array_join(w, " "))
-    parents = F.transform(windows(words(text), sizes[0], overlap), joined)
-    both = F.transform(parents, lambda p: F.struct(p.alias("text"), F.transform(windows(words(p), sizes[1], overlap), joined).alias("leaves")))
+    again = (lambda w: w) if most_chars is None else lambda w: words(joined(w))
+    both = F.transform(windows(words(text), sizes[0], overlap), lambda w: F.struct(joined(w).alias("text"), F.transform(windows(again(w), sizes[1], overlap), joined).alias("leaves")))
+    made = texts.select(key, both.alias("both"))
     # the number of a window is that of its predecessors and all their leaves
-    starts = F.aggregate(F.transform(both, lambda p: F.size(p["leaves"])), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + 1 + n)))
-    numbered = F.transform(both, lambda p, i: F.struct(F.get(starts, i).alias("n"), p["text"].alias("text"), p["leaves"].alias("leaves")))
+    starts = F.aggregate(F.transform("both", lambda p: F.size(p["leaves"])), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + 1 + n)))
+    made = made.withColumn("starts", starts).select(key, "starts", F.posexplode("both").alias("i", "b"))
+    made = made.select(key, F.struct(F.get("starts", F.col("i")).alias("n"), F.col("b.text").alias("text"), F.col("b.leaves").alias("leaves")).alias("p"))
     leaf = lambda t, i: F.struct((F.col("p.n") + 1 + i).alias("chunk"), F.col("p.n").alias("parent"), t.alias("text"))
     own = F.struct(F.col("p.n").alias("chunk"), F.lit(None).cast("int").alias("parent"), F.col("p.text").alias("text"))
-    rows = texts.select(key, F.explode(numbered).alias("p")).select(key, F.explode(F.concat(F.array(own), F.transform("p.leaves", leaf))).alias("r"))
+    rows = made.select(key, F.explode(F.concat(F.array(own), F.transform("p.leaves", leaf))).alias("r"))
     level = F.col("r.parent").isNotNull().cast("int")
     return rows.select(key, "r.chunk", level.alias("level"), level.alias("is_leaf"), "r.parent", label("r.text").alias("subject_label"), "r.text")
 

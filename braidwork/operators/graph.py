@@ -6,7 +6,10 @@ nodes (id, attributes map) and edges (edge_id, head, rel, tail, ...), edge_id gi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,10 +186,74 @@ def sentence_communities(edges: DataFrame, label: DataFrame) -> DataFrame:
     return placed.where("community IS NOT NULL AND sentence_id IS NOT NULL").groupBy("community", "sentence_id").agg(F.min("edge_id").alias("pos"))
 
 
-def _mean_vectors(vectors: DataFrame, group: str, dims: int) -> DataFrame:
-    """(group, mean): the mean of the vectors of each group, added up before the shuffle, a column for each dimension."""
-    sums = vectors.groupBy(group).agg(*(F.avg(F.get("vector", F.lit(j)).cast("double")).alias(f"d{j}") for j in range(dims)))
-    return sums.select(group, F.array(*(f"d{j}" for j in range(dims))).alias("vector"))
+def _added(batches: Iterator[pa.RecordBatch], unit: bool) -> Iterator[pa.RecordBatch]:
+    """Sums (community, n, vector) of rows (community, n, vector), a row for each community of a batch; of sorted rows with unit the sums of
+    whole communities, scaled to unit length, those of length 0 left out."""
+    names = ["community", "n", "vector"]
+    open_: tuple | None = None  # the community that the next batch may continue
+
+    def out(keys: list, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        if unit:
+            norm = np.sqrt((x * x).sum(1))
+            keep = norm > 0
+            keys, n, x = [k for k, ok in zip(keys, keep.tolist(), strict=True) if ok], n[keep], x[keep] / norm[keep, None]
+        flat = pa.array(x.ravel())
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0))
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], names=names)
+
+    kind = pa.string()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kind = b.schema.types[0]
+        code = b.column(0).dictionary_encode()
+        at = code.indices.to_numpy()
+        x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+        sums, n = np.add.reduceat(x[order], begin, axis=0), np.add.reduceat(b.column(1).to_numpy()[order], begin)
+        keys = [code.dictionary[k].as_py() for k in at[order][begin].tolist()]
+        if not unit:
+            yield out(keys, n, sums)
+            continue
+        if open_ is not None:
+            if open_[0] == keys[0]:
+                n[0] += open_[1]
+                sums[0] += open_[2]
+            else:
+                yield out([open_[0]], np.array([open_[1]]), open_[2][None, :])
+        open_ = keys[-1], n[-1], sums[-1]
+        yield out(keys[:-1], n[:-1], sums[:-1])
+    if open_ is not None:
+        yield out([open_[0]], np.array([open_[1]]), open_[2][None, :])
+
+
+def unit_means(vectors: DataFrame) -> DataFrame:
+    """(community, vector): the mean of the vectors (community, vector) of each community, scaled to unit length; without those of length 0.
+    Vectors are added up before they are shuffled, so a community that holds most of them is no burden to one task."""
+    schema = f"community {vectors.schema['community'].dataType.simpleString()}, n bigint, vector array<double>"
+    part = vectors.select("community", F.lit(1).cast("bigint").alias("n"), "vector").mapInArrow(lambda b: _added(b, False), schema)
+    return part.repartition("community").sortWithinPartitions("community").mapInArrow(lambda b: _added(b, True), schema).select("community", "vector")
+
+
+def _likeness(held, names: list[str]):
+    """Dot products of the vectors of sentences with those of the queries that chose their community."""
+
+    def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            asked = b.column("asked")
+            row = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
+            each = asked.flatten()
+            which, cr = each.field("q").to_numpy(), each.field("cr")
+            dot = np.concatenate([np.einsum("ij,ij->i", x[row[c : c + 4096]], q[which[c : c + 4096]]) for c in range(0, len(row), 4096)]) if len(row) else np.zeros(0)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *(b.column(n).take(take) for n in ("community", "sentence_id", "pos")), cr, pa.array(np.round(dot, 9) + 0.0)], names=names)
+
+    return likeness
 
 
 def two_stage(queries: DataFrame, sentences: DataFrame, vectors: DataFrame, top_communities: int = 3, top_sentences: int = 10, delta_percent: float | None = None, lambda_percent: float | None = None, most: int | None = None) -> DataFrame:
@@ -198,25 +265,34 @@ def two_stage(queries: DataFrame, sentences: DataFrame, vectors: DataFrame, top_
     Queries are held by the tasks, in passes if they are many; means and sentences are compared with them by one product a batch."""
     from braidwork.operators import retrieve
 
-    first = vectors.select(F.size("vector").alias("n")).first()
-    dims = first.n if first else 1
+    double = F.transform("vector", lambda x: x.cast("double")).alias("vector")
     once = top(sentences, ["sentence_id"], [F.col("pos"), F.col("community")], 1).select("community", "sentence_id", "pos")
-    held_vectors = stage(once.join(vectors.select("sentence_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")), "sentence_id"))
-    means = stage(_mean_vectors(held_vectors, "community", dims))
+    placed = stage(once.join(vectors.select("sentence_id", double), "sentence_id"))
     keep = top_communities
     if delta_percent is not None:
-        keep = max(1, math.ceil(delta_percent / 100.0 * once.select("community").distinct().count() - 1e-9))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    unit = means.withColumn("n", norm).where("n > 0").select("community", F.transform("vector", lambda x: x / F.col("n")).alias("vector"))
-    asked = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    near = retrieve.nearest(asked, unit, "query_id", "community", "vector", keep, "dot", None).where("score <> 0")
-    chosen = near.select("query_id", "community", F.col("rank").alias("cr"))
-    held = chosen.join(held_vectors, "community")
+        keep = max(1, math.ceil(delta_percent / 100.0 * placed.select("community").distinct().count() - 1e-9))
+    asked = stage(queries.select("query_id", double))
+    near = stage(retrieve.nearest(asked, unit_means(placed), "query_id", "community", "vector", keep, "dot", None).where("score <> 0"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*placed.schema, *asked.schema]}
+    schema = f"query_id {kinds['query_id']}, community {kinds['community']}, sentence_id {kinds['sentence_id']}, pos {kinds['pos']}, cr int, score double"
+    names = ["query_id", "community", "sentence_id", "pos", "cr", "score"]
+    passes = max(1, -(-asked.count() // retrieve.QUERIES))
+    scored = None
+    for p in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toArrow()  # about QUERIES rows
+        if not rows.num_rows:
+            continue
+        ids = rows.column("query_id").combine_chunks()
+        matrix = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        number = queries.sparkSession.createDataFrame(pa.table({"query_id": ids, "q": pa.array(np.arange(rows.num_rows))}))
+        chosen = near.join(F.broadcast(number), "query_id").groupBy("community").agg(F.collect_list(F.struct("q", F.col("rank").alias("cr"))).alias("asked"))  # a row for each query at most
+        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+        one = placed.join(chosen, "community").select("community", "sentence_id", "pos", "vector", "asked").mapInArrow(_likeness(shared, names), schema)
+        scored = one if scored is None else scored.unionAll(one)
+    if scored is None:
+        scored = queries.sparkSession.createDataFrame([], schema)
     if most is not None:
-        held = top(held, ["query_id"], [F.col("cr"), F.col("pos"), F.col("sentence_id")], most, "at")
-    dot = F.aggregate(F.zip_with("vector", "qv", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    both = held.join(asked.withColumnRenamed("vector", "qv"), "query_id")
-    scored = both.select("query_id", "community", "sentence_id", "cr", "pos", F.round(dot, 9).alias("score"))
+        scored = top(scored, ["query_id"], [F.col("cr"), F.col("pos"), F.col("sentence_id")], most, "at")
     ranked = top(scored, ["query_id"], [F.desc("score"), F.col("cr"), F.col("pos"), F.col("sentence_id")], None)
     if lambda_percent is not None:
         n = F.count("*").over(Window.partitionBy("query_id"))
