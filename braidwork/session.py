@@ -70,11 +70,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again. A lost executor costs nothing then."""
+def stage(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it again. A lost executor costs nothing then.  With keep,
+    released() leaves the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    if not keep:
+        _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -159,7 +159,7 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
     """SRC9: the triples of a file or folder, parsed once into the shared folder until its size or time of change is another."""
     now = file_state(spark, path)
     if path not in _KEPT or _KEPT[path][0] != now or _KEPT[path][1].sparkSession is not spark:
-        _KEPT[path] = now, stage(load(spark, path))
+        _KEPT[path] = now, stage(load(spark, path), keep=True)
     return _KEPT[path][1]
 
 
