@@ -205,11 +205,14 @@ class Item:
         for j, w in enumerate(self.words):
             self.bits[w] = self.bits.get(w, 0) | 1 << j
 
-    def common(self, part: list[str]) -> int:
-        """Length of the longest common subsequence with a part of a text."""
+    def common(self, part: list[str], least: float = 0) -> int:
+        """Length of the longest common subsequence with a part of a text; 0 if fewer than `least` words of the part are words of the item."""
         full = (1 << len(self.words)) - 1
         row = full
-        for at in filter(None, map(self.bits.get, part)):
+        met = [at for at in map(self.bits.get, part) if at]
+        if len(met) < least:
+            return 0
+        for at in met:
             u = row & at
             row = ((row + u) | (row - u)) & full
         return len(self.words) - row.bit_count()
@@ -217,7 +220,8 @@ class Item:
     def aligned(self, part: list[str], share: float, one_in: int) -> int:
         """Words of the item in its longest run within a part of a text; 0 if it is below `share` of the item."""
         least = share * len(self.words)
-        if self.common(part) < least * (1 - 1 / one_in):  # a run of that share with that many alterations matches at least so many words
+        match = least * (1 - 1 / one_in)  # a run of that share with that many alterations matches at least so many words
+        if self.common(part, match) < match:
             return 0
         got = longest_run(subsequence(self.words, part), one_in)
         return got if got >= least else 0
