@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import text as txt
 from braidwork.operators import retrieve
 from braidwork.operators.filters import top
+from braidwork.session import stage
 from braidwork.sources.turtle import OWL, RDF, RDFS, SKOS
 
 CANDIDATE = "struct<target_kind:string,concept_uri:string,label:string,score:double,source:string,evidence:map<string,string>>"
@@ -255,15 +256,25 @@ def line_context(documents: DataFrame, lines: DataFrame, index: DataFrame, per_e
     the order of entity ids and candidates, each line once, `most` of them; only lines with a label, comment or type if there are any."""
     each = documents.select("document_id", F.explode("ontology_links.by_entity").alias("entity", "v")).select("document_id", "entity", F.posexplode(F.slice("v.candidates", 1, per_entity)).alias("p", "c"))
     uris = each.where("c.concept_uri <> ''").groupBy("document_id", F.col("c.concept_uri").alias("uri")).agg(F.min(F.struct("entity", "p")).alias("at"))
-    hits = uris.join(index, "uri").select("document_id", "at", F.col("line").alias("hit"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("line") - around), F.col("line") + around)).alias("line"))
-    once = hits.groupBy("document_id", "line").agg(F.min(F.struct("at", "hit", F.col("line").alias("l"))).alias("at")).join(lines, "line")
-    picked = top(once, ["document_id"], [F.col("at")], most)
+    # what a document shows follows from the order of its IRIs: of each at most its first `most` lines, and nothing after one that has as many
+    near = index.select("uri", F.col("line").alias("hit"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("line") - around), F.col("line") + around)).alias("line"))
+    near = near.groupBy("uri", "line").agg(F.min("hit").alias("hit")).join(lines.select("line"), "line", "left_semi")
+    first = top(near, ["uri"], [F.col("hit"), F.col("line")], most).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("ls"))
+    first = stage(first.select("uri", F.transform("ls", lambda x: x["line"]).alias("ls")))
+    counted = uris.join(first.select("uri", F.size("ls").alias("n")), "uri", "left").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("at", "uri", "n"))).alias("xs"))
+    counted = counted.select("document_id", F.filter("xs", lambda x: x["n"].isNotNull()).alias("xs"))
+    full = F.array_position(F.transform("xs", lambda x: x["n"] >= most), True).cast("int")
+    asked = F.when(full > 0, F.slice("xs", 1, full)).otherwise(F.col("xs"))
+    chosen = stage(counted.select("document_id", F.transform(asked, lambda x: x["uri"]).alias("asked")))
+    # each order of IRIs once, however many documents have it
+    own = chosen.select("asked").distinct().select("asked", F.posexplode("asked").alias("p", "uri")).join(first, "uri").groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("p", "ls"))).alias("ls"))
+    picked = own.select("asked", F.posexplode(F.slice(F.array_distinct(F.flatten(F.transform("ls", lambda x: x["ls"]))), 1, most)).alias("rank", "line"))
     low = F.lower("text")
     good = low.contains("label") | low.contains("comment") | low.contains("definition") | low.contains(" rdf:type ") | low.contains(" a ")
-    listed = picked.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", good.alias("good")))).alias("ls"))
-    chosen = F.when(F.exists("ls", lambda x: x["good"]), F.filter("ls", lambda x: x["good"])).otherwise(F.col("ls"))
-    out = listed.select("document_id", F.array_join(F.transform(chosen, lambda x: x["text"]), "\n").alias("found"))
-    linked = uris.select("document_id").distinct().withColumn("linked", F.lit(True))
-    return documents.select("document_id").join(linked, "document_id", "left").join(out, "document_id", "left").select("document_id", F.coalesce("found", F.when(F.col("linked"), NO_LINES).otherwise(NO_LINKS)).alias("context"))
+    told = picked.join(lines.select("line", "text"), "line").distinct()
+    listed = told.groupBy("asked").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "text", good.alias("good")))), 1, most).alias("ls"))
+    shown = F.when(F.exists("ls", lambda x: x["good"]), F.filter("ls", lambda x: x["good"])).otherwise(F.col("ls"))
+    out = listed.select("asked", F.array_join(F.transform(shown, lambda x: x["text"]), "\n").alias("found"))
+    return documents.select("document_id").join(chosen, "document_id", "left").join(out, "asked", "left").select("document_id", F.coalesce("found", F.when(F.col("asked").isNotNull(), NO_LINES).otherwise(NO_LINKS)).alias("context"))
 
 
