@@ -43,13 +43,22 @@ class Hasher:
             got = self.memo[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest(), 16) % self.dim
         return got
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How often each bucket has a word of each text."""
         lists = [(t or "").lower().split() for t in texts]
         flat = np.fromiter((self._bucket(w) for ws in lists for w in ws), np.int64)
         row = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-        out = np.bincount(row * self.dim + flat, minlength=len(lists) * self.dim).reshape(len(lists), self.dim).astype(np.float64)
-        norm = np.sqrt((out * out).sum(1, keepdims=True))
-        return out / np.where(norm > 0, norm, 1.0)
+        return np.bincount(row * self.dim + flat, minlength=len(lists) * self.dim).reshape(len(lists), self.dim)
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return unit(self.counts(texts))
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    """Unit vectors of counts; zero vectors stay."""
+    out = counts.astype(np.float64)
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
 
 
 Loader = Callable[[], Callable[[list], object]]

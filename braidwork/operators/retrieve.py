@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidwork.functions import text as txt
-from braidwork.functions.embed import Hasher
+from braidwork.functions.embed import Hasher, unit
 from braidwork.operators.filters import top
+from braidwork.session import stage
 
 #: Words of queries up to this number are broadcast to the edges.
 HELD = 500_000
 #: Queries that tasks hold at once; more are answered in several passes over the index.
 QUERIES = 5000
+#: Queries and items whose scores nearest_held() makes at once.
+ROWS, BLOCK = 512, 4096
 SCORES = {"dot": lambda m, q: m @ q.T, "cosine": lambda m, q: _unit(m) @ _unit(q).T, "l2_inverse": lambda m, q: 1.0 / (1.0 + _distance(m, q))}
 
 
@@ -110,8 +113,9 @@ def _best(held, item_id, value, k, score, dim, digits, least, names):
 def nearest_held(queries: DataFrame, items: DataFrame, keys: list[str], text: str, item_id: str, item_text: str, k: int = 5, least: float | None = None, dim: int = 256, digits: int = 9, held: int = 200_000) -> DataFrame:
     """(keys..., item_id, score, rank): for each of any number of queries the k items of best cosine of hashed vectors, ties by item.
 
-    The other way round than nearest(): tasks hold the items, `held` of them at a time, and queries stream past them and are never shuffled; with
-    more items the k best of each pass are ranked together."""
+    The other way round than nearest(): tasks hold the items, `held` of them at a time as small counts of words by bucket, and queries stream past
+    them and are never shuffled; with more items the k best of each pass are ranked together.  Scores are made for ROWS queries and BLOCK items at a
+    time, so a task's memory follows neither table."""
     spark = queries.sparkSession
     passes = max(1, -(-items.count() // held))
     schema = T.StructType([queries.schema[c] for c in keys] + [T.StructField(item_id, items.schema[item_id].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
@@ -119,29 +123,64 @@ def nearest_held(queries: DataFrame, items: DataFrame, keys: list[str], text: st
     def best_of(shared):
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher(dim)
-            ids, matrix = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                s = np.round(hasher(b.column(text).to_pylist()) @ matrix.T, digits)
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, order, 1)
-                row, rank = np.nonzero(score >= least) if least is not None else np.nonzero(np.ones_like(score, bool))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keys), ids.take(pa.array(order[row, rank])).cast(pa_type(schema[item_id])), pa.array(score[row, rank]), pa.array((rank + 1).astype(np.int32))], names=schema.fieldNames())
+            ids, counts = shared.value
+            for whole in batches:
+                for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows if len(ids) else 0, ROWS)):
+                    row, item, score, rank = _held_best(hasher(b.column(text).to_pylist()), counts, k, digits)
+                    if least is not None:
+                        row, item, score, rank = (x[score >= least] for x in (row, item, score, rank))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in keys), ids.take(pa.array(item)).cast(pa_type(schema[item_id])), pa.array(score), pa.array(rank)], names=schema.fieldNames())
 
         return best
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(dim)
+        for whole in batches:
+            for b in (whole.slice(at, BLOCK) for at in range(0, whole.num_rows, BLOCK)):
+                c = hasher.counts(b.column(1).to_pylist())
+                small = c.astype(np.min_scalar_type(int(c.max(initial=0))))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in small], pa.binary())], names=["id", "counts"])
+
+    asked = queries.select(*keys, text)
+    asked = stage(asked) if passes > 1 else asked
     out = None
     for p in range(passes):
-        part = items.select(item_id, item_text)
-        rows = (part.where(F.pmod(F.xxhash64(item_id), F.lit(passes)) == p) if passes > 1 else part).orderBy(item_id).collect()  # about `held`
-        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in rows], pa_type(schema[item_id])), Hasher(dim)([r[1] for r in rows])))
-        one = queries.select(*keys, text).mapInArrow(best_of(shared), schema)
+        part = items.select(F.col(item_id).alias("id"), item_text)
+        part = part.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p) if passes > 1 else part
+        rows = part.mapInArrow(counted, T.StructType([T.StructField("id", items.schema[item_id].dataType), T.StructField("counts", T.BinaryType())])).orderBy("id").toArrow()  # about `held`
+        width = pa.compute.max(pa.compute.binary_length(rows.column("counts"))).as_py() // dim if rows.num_rows else 1
+        counts = np.empty((rows.num_rows, dim), f"u{width}")
+        for at, x in enumerate(v for c in rows.column("counts").chunks for v in c):
+            x = x.as_buffer()
+            counts[at] = np.frombuffer(x, f"u{len(x) // dim}")
+        shared = spark.sparkContext.broadcast((rows.column("id").combine_chunks(), counts))
+        one = asked.mapInArrow(best_of(shared), schema)
         out = one if out is None else out.unionAll(one)
     return out if passes == 1 else top(out.drop("rank"), keys, [F.desc("score"), F.col(item_id)], k)
 
 
+def _held_best(q: np.ndarray, counts: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, ...]:
+    """(row, item, score, rank) of the k items of best rounded cosine for each unit vector, ties in the order of items."""
+    n = len(q)
+    row, item, score, rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    bar = np.full(n, -np.inf)  # the k-th best so far; a later item must exceed it
+    at, size = 0, max(k, BLOCK // 8)
+    while at < len(counts):
+        s = q @ unit(counts[at : at + size]).T
+        r, c = np.nonzero(s > (bar - 10.0**-digits)[:, None])
+        v = np.round(s[r, c], digits)
+        more = v > bar[r]
+        row, item, score = (np.concatenate(x) for x in ((row, r[more]), (item, c[more] + at), (score, v[more])))
+        order = np.lexsort((item, -score, row))
+        row, item, score = row[order], item[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        row, item, score, rank = (x[rank <= k] for x in (row, item, score, rank))
+        bar[row[rank == k]] = score[rank == k]
+        at, size = at + size, BLOCK
+    return row, item, score, rank.astype(np.int32)
+
+
 def pa_type(field: T.StructField) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
