@@ -33,6 +33,8 @@ BUCKETS, DIMS, SPARE, SAMPLE, SLIDE = 1 << 15, 64, 8, 20_000, 16
 CELLS = 8192
 #: Texts handled at once, of these whose vectors stay in the cache, and places of the flags of their neighbouring words.
 _TEXTS, _CACHED, _FLAGS = 400, 32, 1 << 22
+#: Windows whose cosines are made at once.
+_ROWS = 128
 _KEPT = "block int, salt int, counts binary, rank bigint, words array<int>"
 
 
@@ -243,6 +245,7 @@ class Cells:
     members: list[np.ndarray]  # (DIMS, windows of the cell)
     item: list[np.ndarray]
     start: list[np.ndarray]
+    room: tuple[np.ndarray, np.ndarray] | None = None  # for the cosines of some rows and what reaches the threshold, so that they stay in the cache
 
     @classmethod
     def of(cls, x: np.ndarray, item: np.ndarray, start: np.ndarray, threshold: float, rounds: int = 4) -> Cells:
@@ -274,11 +277,22 @@ class Cells:
             cell, row = np.nonzero(np.ascontiguousarray((x @ self.centres >= self.bound).T))
             cut = np.searchsorted(cell, np.arange(len(self.members) + 1))
             members = [(c, row[cut[c] : cut[c + 1]]) for c in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
-        for c, rows in members:
+        largest = _ROWS * max(m.shape[1] for m in self.members)
+        if self.room is None:
+            self.room = np.empty(largest, np.float32), np.empty(largest + 8, bool)
+        room, over = self.room
+        for c, every in members:
             n = self.members[c].shape[1]
-            at = np.flatnonzero((x[rows] @ self.members[c] >= threshold).ravel())
-            if len(at):
-                yield rows[at // n], self.item[c][at % n], self.start[c][at % n]
+            for rows in (every[k : k + _ROWS] for k in range(0, len(every), _ROWS)):
+                size = len(rows) * n
+                np.matmul(x[rows], self.members[c], out=room[:size].reshape(len(rows), n))
+                np.greater_equal(room[:size], threshold, out=over[:size])
+                over[size : size + 8] = False
+                eight = np.flatnonzero(over[: -(-size // 8) * 8].view(np.uint64))  # most have none
+                if len(eight):
+                    at = (eight[:, None] * 8 + np.arange(8)).ravel()
+                    at = at[over[at]]
+                    yield rows[at // n], self.item[c][at % n], self.start[c][at % n]
 
 
 @dataclass
@@ -297,10 +311,15 @@ class Neighbours:
         return cls(g, np.cumsum(count) - count, count)
 
 
-def _may_hold(h: np.ndarray, size: np.ndarray, doc: np.ndarray, item: np.ndarray, items: Neighbours, share: float, one_in: int) -> np.ndarray:
-    """Which pairs of text and item can hold a run: of r item words at most r / (one_in - 1) are altered, each of which parts two
-    neighbours, so at least r - 1 - 2 r / (one_in - 1) neighbouring words of the item are neighbours in the text."""
-    g, text = many_shingles(h, size, 2)
+def least_neighbours(n, share: float, one_in: int):
+    """Neighbouring words of an item of n words that are neighbours in every text with a run of it: of the run's r words at most r / (one_in - 1) are
+    altered, each of which parts two neighbours, so r - 1 - 2 r / (one_in - 1) are left."""
+    run = np.ceil(share * n - 1e-9)
+    return run - 1 - 2 * run / (one_in - 1)
+
+
+def _may_hold(g: np.ndarray, text: np.ndarray, doc: np.ndarray, item: np.ndarray, items: Neighbours, share: float, one_in: int) -> np.ndarray:
+    """Which pairs of text and item can hold a run, by the hashes of neighbouring words (g, of texts) and least_neighbours()."""
     there = np.zeros(_FLAGS, bool)  # by hash: two pairs of neighbours in one place only let more texts pass
     there[(mix(g ^ mix(text.astype(np.uint64))) & np.uint64(_FLAGS - 1)).astype(np.int64)] = True
     out = np.zeros(len(doc), bool)
@@ -310,8 +329,7 @@ def _may_hold(h: np.ndarray, size: np.ndarray, doc: np.ndarray, item: np.ndarray
         row = np.repeat(np.arange(len(n)), n)
         asked = mix(items.pairs[np.arange(len(row)) + (items.begin[own] - (np.cumsum(n) - n))[row]] ^ mix(d.astype(np.uint64))[row])
         met = np.bincount(row, weights=there[(asked & np.uint64(_FLAGS - 1)).astype(np.int64)], minlength=len(n))
-        run = np.ceil(share * (n + 1) - 1e-9)
-        out[c : c + (1 << 14)] = met >= run - 1 - 2 * run / (one_in - 1)
+        out[c : c + (1 << 14)] = met >= least_neighbours(n + 1, share, one_in)
     return out
 
 
@@ -320,6 +338,7 @@ def _search(basis, shared, threshold: float, share: float, one_in: int):
         space, (items, packed) = Basis(basis.value), shared.value
         items, groups = [Item(*x) for x in items], {k: Cells(*v) for k, v in packed.items()}
         neighbours = Neighbours.of([x.words for x in items])
+        own = [(neighbours.pairs[b : b + n].tolist(), float(least_neighbours(n + 1, share, one_in))) for b, n in zip(neighbours.begin.tolist(), neighbours.size.tolist(), strict=True)]
         for whole in batches:
             out = []
             for b in (whole.slice(k, _TEXTS) for k in range(0, whole.num_rows, _TEXTS)):
@@ -335,25 +354,31 @@ def _search(basis, shared, threshold: float, share: float, one_in: int):
                         x, of, place = space.windows(w[ends[t] : ends[min(t + _CACHED, len(texts))]], size[t : t + _CACHED], width, step)
                         of = (of + t) * len(items)
                         for c in range(0, len(x), 2048):
-                            for rows, own, start in cells.near(x[c : c + 2048], threshold):
-                                pair = of[c + rows] + own
+                            for rows, which, start in cells.near(x[c : c + 2048], threshold):
+                                pair = of[c + rows] + which
                                 met[pair] = True
                                 hits.append((pair, c + rows, place, start))
                 pairs = np.flatnonzero(met)
-                met[pairs] = _may_hold(h, size, pairs // len(items), pairs % len(items), neighbours, share, one_in)
+                g, text = many_shingles(h, size, 2)
+                met[pairs] = _may_hold(g, text, pairs // len(items), pairs % len(items), neighbours, share, one_in)
                 kept = [np.stack([pair[k] // len(items), pair[k] % len(items), place[rows[k]] - start[k]]) for pair, rows, place, start in hits if len(k := np.flatnonzero(met[pair]))]
                 if not kept:
                     continue
                 found = np.unique(np.concatenate(kept, 1).T, axis=0)
+                first = np.searchsorted(text, np.arange(len(texts))).tolist()
                 cut = [0, *(np.flatnonzero((found[1:, :2] != found[:-1, :2]).any(1)) + 1).tolist(), len(found)]
                 for one in (found[a:b] for a, b in zip(cut, cut[1:])):  # noqa: B905
-                    (i, ws), item = texts[one[0, 0]], items[one[0, 1]]
+                    (i, ws), item, (wanted, few) = texts[one[0, 0]], items[one[0, 1]], own[one[0, 1]]
+                    begin = first[one[0, 0]]
                     n, best = len(item.words), 0
                     slack = n // one_in + 2 + SLIDE
                     for lo, hi in stretches(one[:, 2], 2 * slack):
                         room = n + 2 * slack  # a run lies wholly within one of the parts of twice that size
                         for at in range(lo - slack, max(hi - slack, lo - slack + 1), room):
-                            best = max(best, item.aligned(ws[max(0, at) : max(0, min(at + 2 * room, hi + n + slack))], share, one_in))
+                            start, end = max(0, at), max(0, min(at + 2 * room, hi + n + slack, len(ws)))
+                            there = set(g[begin + start : begin + max(start, end - 1)].tolist())  # neighbours within the part
+                            if sum(map(there.__contains__, wanted)) >= few:
+                                best = max(best, item.aligned(ws[start:end], share, one_in))
                     if best:
                         out.append((i, item.key, best / n))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
